@@ -13,8 +13,8 @@ from .components import connected_components
 
 SHINGLE_WORDS = 3
 RADIUS = 2
-#: Buckets of up to so many fingerprints are compared pair by pair, larger ones through shared neighbours.
-SMALL_BUCKET = 128
+#: Buckets of up to so many distinct fingerprints are compared inside one task; larger ones are dealt out further.
+BUCKET = 4_096
 
 
 def _bits_over_half(hashes: list[int]) -> int:
@@ -28,7 +28,7 @@ def _bits_over_half(hashes: list[int]) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprint(text: bytes | None, k: int = SHINGLE_WORDS, seed: int = 42) -> int:
+def shingle_fingerprint(text: bytes | None, k: int = SHINGLE_WORDS, seed: int = 42) -> int:
     """SimHash of the k-word shingles, repeats included. Fewer words: the whole sequence; none: 0."""
     words = (text or b"").lower().split()  # of bytes: A-Z and ASCII white space only
     if len(words) < k:
@@ -37,14 +37,21 @@ def fingerprint(text: bytes | None, k: int = SHINGLE_WORDS, seed: int = 42) -> i
     return _bits_over_half([digest(join(s), seed) for s in zip(*(words[i:] for i in range(k)))])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE_WORDS) -> DataFrame:
+def word_fingerprint(text: bytes | None, least: int = 5, seed: int = 42) -> int:
+    """SimHash of the distinct words of at least so many bytes, or of all words if none is as long; no word: 0."""
+    words = set((text or b"").lower().split())
+    long = [w for w in words if len(w) >= least]
+    return _bits_over_half([xxhash.xxh64_intdigest(w, seed) for w in long or words])
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, fingerprint=shingle_fingerprint) -> DataFrame:
     """id, fp (signed 64 bits) of every row."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                fps = np.array([fingerprint(t, k) for t in part.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
+                fps = np.array([fingerprint(t) for t in part.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, fp long")
@@ -66,99 +73,97 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _small_bucket_links(radius: int):
-    """From rows (t, key, node, fp) sorted by (t, key): a spanning forest of the links in each bucket."""
+def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Positions of links within the radius that span each connected part. Every fingerprint is compared with those
+    that no link has reached, so that a dense bucket is done in few steps."""
+    out, left = [], np.arange(len(fps))
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            near = np.bitwise_count(fps[left] ^ fps[i]) <= radius
+            if near.any():
+                found = left[near].tolist()
+                out += [(i, j) for j in found]
+                queue += found
+                left = left[~near]
+    return out
 
-    def links(run):
-        if len(run) < 2:
-            return
-        nodes, fps = [r[0] for r in run], np.array([r[1] for r in run], dtype=np.int64).view(np.uint64)
-        root = list(range(len(run)))
 
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
+def _bucket_links(radius: int):
+    """From rows (fp, keys...) sorted by the keys: the links of each run of equal keys."""
 
-        for i in range(1, len(run)):
-            for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= radius).tolist():
-                p, q = find(i), find(j)
-                if p != q:
-                    root[p] = q
-                    yield nodes[j], nodes[i]
+    def links(cols, final):
+        """Links of all runs, but for the last one unless final; what is left over."""
+        new = np.append(True, np.any([c[1:] != c[:-1] for c in cols[1:]], axis=0))
+        starts = np.append(np.flatnonzero(new), len(new))
+        stop = len(starts) - 1 if final else len(starts) - 2
+        found = []
+        for r in (np.flatnonzero(np.diff(starts)[:stop] > 1)).tolist():
+            fps = cols[0][starts[r] : starts[r + 1]]
+            pairs = np.array(forest(fps.view(np.uint64), radius), dtype=np.int64).reshape(-1, 2)
+            found.append(fps[pairs])
+        both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"]), [c[starts[stop] :] for c in cols]
 
     def run(batches):
-        key, bucket = None, []
+        held = None
         for batch in batches:
-            found = []
-            for t, k, node, fp in zip(*(c.to_pylist() for c in batch.columns)):
-                if (t, k) != key:
-                    found += links(bucket)
-                    key, bucket = (t, k), []
-                bucket.append((node, fp))
-            yield _pairs(found)
-        yield _pairs(list(links(bucket)))
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if len(cols[0]):
+                found, held = links([np.concatenate(x) for x in zip(held, cols)] if held else cols, False)
+                yield found
+        if held:
+            yield links(held, True)[0]
 
     return run
 
 
-def _pairs(found):
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-
 def hamming_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) that connect all of points (node, fp; fps distinct) that are linked by a Hamming distance up to radius.
-
-    Each mask of the covering is a table; points with equal masked bits share a bucket, and every pair within the
-    radius shares one in some table. Buckets are counted first. Small ones are compared inside one task; a larger
-    one is never gathered: within it, two points within the radius have neighbours in common, so that points are
-    dealt out by (bucket, neighbour). For an even radius r, points within r/2 of a common neighbour are within r
-    of each other, which needs no check; an odd radius is handled as the next smaller one plus a single flip of
-    one of the two, again exactly.
+    """Links (a, b) between distinct fingerprints (points: fp) that connect all that are within the radius of each
+    other, directly or over others.
+
+    Each mask of the covering is a table; fingerprints with equal masked bits share a bucket, and every pair within
+    the radius shares one in some table. Buckets are counted first, and those with one fingerprint are left out. A
+    bucket is compared inside one task and yields the links that span its parts, never all pairs. Buckets with more
+    than BUCKET fingerprints are dealt out further, without loss: for radius 2 by common neighbours, as two
+    fingerprints within 2 of each other are both within 1 of a third; for others by pairs of blocks of the bucket.
     """
     masks = covering_masks(radius)
-    tables = points.select("node", "fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])).alias("e")).select("e.t", "e.key", "node", "fp")
+    of = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
+    tables = points.select("fp", F.explode(of).alias("e")).select("e.t", "e.key", "fp")
     counts = save(tables.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    shared = save(tables.join(counts, ["t", "key"]).select("t", "key", "node", "fp", "n"), "candidates")
-    small = shared.where(F.col("n") <= SMALL_BUCKET).select("t", "key", "node", "fp").repartition("t", "key").sortWithinPartitions("t", "key", "node")
-    links = small.mapInArrow(_small_bucket_links(radius), "a long, b long")
-    large = shared.where(F.col("n") > SMALL_BUCKET)
-    near = large.select("t", "key", "node", F.explode(_neighbours(masks, radius)).alias("x"))
-    groups = near.groupBy("t", "key", "x.at").agg(F.collect_set(F.struct("x.plus", "node")).alias("g")).where(F.size("g") > 1)
-    if radius % 2 == 0:
-        pairs = groups.select(F.array_min(F.transform("g", lambda y: y["node"])).alias("a"), F.explode("g").alias("y")).select("a", F.col("y.node").alias("b"))
-    else:  # those with the extra flip are linked to one without it, and the other way round
-        of = lambda p: F.array_min(F.transform(F.filter("g", lambda y: y["plus"] == p), lambda y: y["node"]))
-        pairs = groups.select(of(False).alias("low"), of(True).alias("high"), F.explode("g").alias("y"))
-        pairs = pairs.select(F.when(F.col("y.plus"), F.col("low")).otherwise(F.col("high")).alias("a"), F.col("y.node").alias("b"))
-    out = save(links.union(pairs.where("a <> b")).distinct(), "links")
+    shared = save(tables.join(counts, ["t", "key"]).select("t", "key", "fp", "n"), "candidates")
+    small = shared.where(F.col("n") <= BUCKET).select("fp", "t", "key").repartition("t", "key").sortWithinPartitions("t", "key")
+    links = small.mapInArrow(_bucket_links(radius), "a long, b long")
+    large = shared.where(F.col("n") > BUCKET)
+    if not large.isEmpty():
+        links = links.union(_by_neighbours(large, masks) if radius == 2 else _by_blocks(large, radius))
+    links = save(links.distinct(), "links")
     drop(counts)
     drop(shared)
-    return out
+    return links
 
 
-def _neighbours(masks: list[int], radius: int):
-    """Points at up to radius // 2 flips outside the mask of t, and for an odd radius also those with one more."""
-    by_table = []
-    for m in masks:
-        free = [i for i in range(64) if not m >> i & 1]
-        flips = [0]
-        layers = [[0]]
-        for _ in range((radius + 1) // 2):
-            layers.append(sorted({f | 1 << i for f in layers[-1] for i in free if not f >> i & 1}))
-        half = radius // 2
-        flips = [(f, False) for layer in layers[: half + 1] for f in layer]
-        if radius % 2:
-            flips += [(f, True) for layer in layers for f in layer]
-        by_table.append(flips)
-    cases = [F.transform(F.lit([_signed(f) for f, _ in flips]), lambda f: F.col("fp").bitwiseXOR(f)) for flips in by_table]
-    extra = [F.lit([p for _, p in flips]) for flips in by_table]
-    pick = lambda xs: F.coalesce(*[F.when(F.col("t") == t, x) for t, x in enumerate(xs)])
-    return F.arrays_zip(pick(cases).alias("at"), pick(extra).alias("plus"))
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+def _by_neighbours(large: DataFrame, masks: list[int]) -> DataFrame:
+    """Links of large buckets for radius 2. Those within 1 of a common neighbour are linked; there are few of them."""
+    flips = [[0, *(_signed(1 << i) for i in range(64) if not m >> i & 1)] for m in masks]
+    around = F.coalesce(*[F.when(F.col("t") == t, F.transform(F.lit(f), lambda x: F.col("fp").bitwiseXOR(x.cast("long")))) for t, f in enumerate(flips)])
+    groups = large.select("t", "key", "fp", F.explode(around).alias("at")).groupBy("t", "key", "at").agg(F.collect_set("fp").alias("g")).where(F.size("g") > 1)
+    return groups.select(F.array_min("g").alias("a"), F.explode("g").alias("b")).where("a <> b")
+
+
+def _by_blocks(large: DataFrame, radius: int) -> DataFrame:
+    """Links of large buckets for any radius: each pair of blocks of a bucket is compared by a task of its own."""
+    blocks = F.ceil(F.col("n") * 2 / BUCKET).cast("int")
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    dealt = large.select("fp", "t", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    keys = ["t", "key", "i", "j"]
+    dealt = dealt.select("fp", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_bucket_links(radius), "a long, b long")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, fingerprint=shingle_fingerprint) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links) of every row.
 
     Documents with equal fingerprints are one point from the start, however many they are. Null and empty texts have
@@ -166,15 +171,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nothing; repeated rows give a row each; ids are integers. Whole texts are used, other columns are ignored, and
     an empty table gives an empty result.
     """
-    fps = save(fingerprints(docs, id_col, text_col, k), "fingerprints")
+    fps = save(fingerprints(docs, id_col, text_col, fingerprint), "fingerprints")
     points = save(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("n")), "points")
-    links = hamming_links(points.select("node", "fp"), radius)
-    parts = connected_components(links)
+    parts = connected_components(hamming_links(points.select("fp"), radius))
+    linked = points.join(parts.select(F.col("node").alias("fp"), F.col("component").alias("part")), "fp")
+    least = save(linked.groupBy("part").agg(F.min("node").alias("component")), "parts")
+    linked = save(linked.select("fp", "part"), "linked")
+    copies = points.where("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("node").alias("component"))
     # A component for each fingerprint that has a second document or a link; saved, so that a hot one can be split.
-    known = save(
-        points.join(parts, "node", "left").where("n > 1 or component is not null").select("fp", F.coalesce("component", "node").alias("component")),
-        "components",
-    )
+    known = save(linked.join(least, "part").select("fp", "component").union(copies), "components")
     out = fps.join(known, "fp", "left")
     return out.select(
         F.col("id").alias("doc_id"),
