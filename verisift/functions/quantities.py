@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from . import lexicon as lx
 
@@ -67,7 +68,7 @@ def extract(text: str) -> list[tuple[float, str]]:
     return sorted(found)
 
 
-@F.pandas_udf("array<struct<value: double, unit: string>>")
+@F.pandas_udf(ArrayType(StructType([StructField("value", DoubleType()), StructField("unit", StringType())])))
 def quantities(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"value": v, "unit": u} for v, u in extract(t or "")])
 

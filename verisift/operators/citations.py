@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import lexicon as lx
 from ..functions.text import article_key, col, normalize_digits, strip_zeros
@@ -116,7 +117,7 @@ def span_of_claim(text: str, pos: int, length: int, previous_end: int = 0, next_
     return " ".join(re.sub("⟦[^⟧]*⟧", " ", text[start:end]).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _claims(text: pd.Series, pos: pd.Series, length: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([span_of_claim(t, p, n, b, None if a < 0 else a) for t, p, n, b, a in zip(text, pos, length, before, after)])
 
