@@ -62,3 +62,10 @@ def row_id():
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than rows + 1 of them."""
     return df.limit(rows + 1).count() <= rows
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Lets Arrow batches hold so many rows at most, as texts can be long: the default of 10,000 suits numbers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

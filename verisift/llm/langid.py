@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 #: Bounds of the training sample, for each language: documents, characters of each, characters in all.
-SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_CHARS = 256, 1_000, 60_000
+SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_CHARS = 256, 1_000, 30_000
 #: More labels than this are not languages.
 MAX_LANGUAGES = 256
 #: Letters with a class of their own; rarer ones share one.
-LETTERS = 58
+LETTERS = 43
 #: Parsing starts afresh after so many characters, so that many stretches are parsed side by side.
 LANE = 256
 #: Characters that are parsed side by side at most, but for a longer text.
@@ -188,6 +188,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     ids count as not held out and are not learned from. Repeated rows give a row each. The model has a fixed largest
     size and is broadcast.
     """
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(Model(sample(docs, id_col, text_col, lang_col)))
 
     def run(batches):
