@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +17,9 @@ EVERY = 20
 #: Hash functions, i.e. random projections, and how often a vector must collide with the query to be verified.
 PROJECTIONS, THRESHOLD = 24, 12
 #: Windows widen by this factor from round to round.
-WIDEN = 1.5
+WIDEN = 1.3
+#: Queries whose windows are looked up at a time.
+TOGETHER = 128
 #: Vectors in a block of candidates and in a block of queries.
 CANDIDATE_BLOCK, QUERY_BLOCK = 4_096, 4_096
 SEED = 20
@@ -30,65 +34,71 @@ class Index:
         lift = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0))
         self.planes = np.random.default_rng(SEED).normal(size=(vectors.shape[1] + 1, PROJECTIONS))
         hashed = np.column_stack([vectors, lift]) @ self.planes
-        self.order = np.argsort(hashed, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(hashed, self.order.T, axis=0).T.copy()
-        self.low, self.high = hashed.min(), hashed.max()
-        spread = np.median(self.values[:, -1] - self.values[:, 0])
-        self.first = max(float(spread) * min(1.0, K / len(ids)) / 2, 1e-9 * max(longest, 1e-300))
-
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the k nearest found, all if there are no more. own: a row that takes no part, or -1."""
-        n = len(self.ids)
-        size = float(np.sqrt((query**2).sum()))
-        centre = (query * (self.longest / size)) @ self.planes[:-1]
-        left = np.array([np.searchsorted(v, c) for v, c in zip(self.values, centre)])
-        right = left.copy()
-        hits, done = np.zeros(n, np.int16), np.zeros(n, bool)
-        rows, scores = np.empty(0, np.int64), np.empty(0)
-        if own >= 0:
-            done[own] = True
-        want = min(k, n - (own >= 0))
-        half = self.first
-        while True:
-            for j, c in enumerate(centre):  # windows around the query, twice as wide as half; only what is new is counted
-                v, o = self.values[j], self.order[j]
-                a, b = np.searchsorted(v, c - half), np.searchsorted(v, c + half, side="right")
-                hits[o[a : left[j]]] += 1
-                hits[o[right[j] : b]] += 1
-                left[j], right[j] = a, b
-            everything = bool((right - left == n).all())
-            found = np.flatnonzero(~done if everything else (hits >= THRESHOLD) & ~done)
-            if len(found):
-                done[found] = True
-                rows, scores = np.concatenate([rows, found]), np.concatenate([scores, (self.vectors[found] * query).sum(axis=1)])
-            if everything:
-                break
-            if len(rows) >= want:
+        order = np.argsort(hashed, axis=0, kind="stable").T
+        self.values = np.take_along_axis(hashed, order.T, axis=0).T.copy()
+        #: Place of each vector in each sorted array: it lies in a window if its place does.
+        self.places = np.empty(order.shape, np.uint32 if len(ids) >> 16 else np.uint16)
+        np.put_along_axis(self.places, order, np.arange(len(ids), dtype=self.places.dtype)[None, :], axis=1)
+        spread = float((self.values[:, -1] - self.values[:, 0]).max())
+        reach = spread + 2 * float(np.abs(hashed).max()) + longest * float(np.sqrt((self.planes**2).sum(axis=0)).max())
+        first = max(spread * K / len(ids) / 2, reach * 1e-6)
+        #: Half widths of the windows in each round; the last hold everything.
+        self.halves = first * WIDEN ** np.arange(max(1, math.ceil(math.log(max(reach, 1e-300) / max(first, 1e-300)) / math.log(WIDEN))) + 1) if reach > 0 else np.array([1.0])
+
+    def search(self, queries: np.ndarray, own: list[int], k: int):
+        """For each query the rows and scores of the k nearest found, all if there are no more. own: for each query
+        a row that takes no part, or -1."""
+        n, sizes = len(self.ids), np.sqrt((queries**2).sum(axis=1))
+        centres = (queries * (self.longest / sizes)[:, None]) @ self.planes[:-1]
+        ends = centres[:, :, None] + np.concatenate([-self.halves, self.halves])
+        rounds, kind = len(self.halves), self.places.dtype
+        left, width = np.empty((2, len(queries), PROJECTIONS, rounds), kind)
+        for j, v in enumerate(self.values):
+            left[:, j] = np.searchsorted(v, ends[:, j, :rounds])
+            width[:, j] = np.searchsorted(v, ends[:, j, rounds:], side="right") - left[:, j]
+        for q, query in enumerate(queries):
+            want = min(k, n - (own[q] >= 0))
+            totals = width[q].sum(axis=0, dtype=np.int64)
+            for r in range(int(np.searchsorted(totals, want * THRESHOLD)), rounds):
+                # The windows of a later round hold those of the earlier ones, so that hits can be counted afresh.
+                inside = self.places - left[q, :, r, None] < width[q, :, r, None]
+                last = r == rounds - 1
+                rows = np.arange(n) if last else np.flatnonzero(np.add.reduce(inside, axis=0, dtype=np.uint8) >= THRESHOLD)
+                if own[q] >= 0:
+                    rows = rows[rows != own[q]]
+                if len(rows) < want:
+                    continue
+                scores = self.vectors[rows] @ query
                 kth = np.partition(scores, len(scores) - want)[len(scores) - want] if want else 0.0
-                if 2 * self.longest**2 - 2 * self.longest * kth / size <= half**2:  # squared distance of the k-th found
+                if last or 2 * self.longest**2 - 2 * self.longest * kth / sizes[q] <= self.halves[r] ** 2:  # squared distance of the k-th found
                     break
-            half *= WIDEN
-        best = np.lexsort((self.ids[rows], -scores))[:k]
-        return rows[best], scores[best]
+            # Equal vectors get equal scores only if each is summed in the same way.
+            rows = rows[scores >= kth - 1e-9 * self.longest * sizes[q]] if want else rows[:0]
+            scores = (self.vectors[rows] * query).sum(axis=1)
+            best = np.lexsort((self.ids[rows], -scores))[:k]
+            yield rows[best], scores[best]
 
 
 def _search_block(k: int, longest: float):
     schema = pa.schema([("qrow", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def vectors(t: pa.Table) -> np.ndarray:
-        return np.array(t.column("v").to_pylist(), dtype=np.float64)
+        return t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
 
     def run(cands: pa.Table, queries: pa.Table) -> pa.Table:
         if not cands.num_rows or not queries.num_rows:
             return schema.empty_table()
-        rids = cands.column("rid").to_numpy()
-        at = {r: i for i, r in enumerate(rids.tolist())}
+        at = {r: i for i, r in enumerate(cands.column("rid").to_pylist())}
         index = Index(cands.column("id").to_numpy(), vectors(cands), longest)
+        rids, ids, qs = queries.column("rid").to_pylist(), queries.column("id").to_pylist(), vectors(queries)
         out = ([], [], [], [])
-        for rid, qid, q in zip(queries.column("rid").to_pylist(), queries.column("id").to_pylist(), vectors(queries)):
-            rows, scores = index.search(q, at.get(rid, -1), k)
-            out[0].append(np.full(len(rows), rid)), out[1].append(np.full(len(rows), qid))
-            out[2].append(index.ids[rows]), out[3].append(scores)
+        for a in range(0, len(qs), TOGETHER):
+            found = index.search(qs[a : a + TOGETHER], [at.get(r, -1) for r in rids[a : a + TOGETHER]], k)
+            for rid, qid, (rows, scores) in zip(rids[a:], ids[a:], found):
+                out[0].append(np.full(len(rows), rid))
+                out[1].append(np.full(len(rows), qid))
+                out[2].append(index.ids[rows])
+                out[3].append(scores)
         return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in out], schema=schema)
 
     return run
