@@ -11,6 +11,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Largest number of differing bits of 64 between a window's fingerprint and an item's.
 RADIUS = 18
+#: Shingles of an item at most; a longer one is refused.
+MAX_SHINGLES = (1 << 16) - 1
 #: Up to so many item shingles or fingerprint blocks are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -25,14 +27,22 @@ def _shingles(words: Column, size: Column, k: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.concat_ws(" ", F.slice(words, i, k)))
 
 
-def _fingerprint(hashes: str) -> Column:
-    """SimHash of 64 bits of a column of hashes: a bit is 1 if set in over half of them."""
-    out = F.lit(0).cast("long")
+def _with_fingerprint(df: DataFrame, hashes: str, out: str) -> DataFrame:
+    """Adds the SimHash of 64 bits of a column of up to MAX_SHINGLES hashes: a bit is 1 if set in over half of them.
+
+    Every 16th bit is counted at once, in four fields of 16 bits of a long.
+    """
+
+    def counted(j: int):
+        return lambda acc, h: acc + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(0x0001000100010001))
+
+    sums = {f"__sums{j}": F.aggregate(hashes, F.lit(0).cast("long"), counted(j)) for j in range(16)}
+    fp = F.lit(0).cast("long")
     for b in range(64):
-        ones = F.size(F.filter(hashes, lambda h, b=b: F.getbit(h, F.lit(b)) == 1))
-        bit = 1 << b if b < 63 else -(1 << 63)
-        out = out.bitwiseOR(F.when(ones * 2 > F.size(hashes), F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out
+        ones = F.shiftrightunsigned(f"__sums{b % 16}", b // 16 * 16).bitwiseAND(0xFFFF)
+        bit = F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")
+        fp = fp.bitwiseOR(F.when(ones * 2 > F.size(hashes), bit).otherwise(F.lit(0).cast("long")))
+    return df.withColumns(sums).withColumn(out, fp).drop(*sums)
 
 
 def _hashes(shingles: str) -> Column:
@@ -72,7 +82,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col:
     i = i.withColumn("n", F.size("iw")).where("n > 0").withColumn("k", F.least(k, F.col("n")))
     i = i.withColumn("ish", _shingles(F.col("iw"), F.col("n"), F.col("k"))).select("item_id", "n", "k", "ish")
 
-    sizes = sorted(x[0] for x in i.select("k").distinct().collect())  # at most shingle_words numbers
+    by_size = i.groupBy("k").agg(F.max("n")).collect()  # at most shingle_words rows
+    if any(n > MAX_SHINGLES for _, n in by_size):
+        raise ValueError(f"an item has more than {MAX_SHINGLES} words")
+    sizes = sorted(k for k, _ in by_size)
     words = docs.select(row_id().alias("rid"), F.col(doc_col).alias("doc_id"), words_of(F.col(text_col)).alias("w")).withColumn("size", F.size("w"))
     windows = None
     for s in sizes:
@@ -91,11 +104,14 @@ def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col:
 
     masks = _block_masks(radius)
     blocks = lambda fp: F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.col(fp).bitwiseAND(F.lit(m)).alias("v")) for b, m in enumerate(masks)])).alias("e")
-    w = windows.groupBy("rid", "doc_id", "n", "start", "k", "window").agg(F.lit(1).alias("one"))
+    # A number of partitions of its own: few bytes, but much work for each window.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = windows.groupBy("rid", "doc_id", "n", "start", "k", "window").agg(F.lit(1).alias("one")).repartition(tasks, "rid", "start", "n")
     w = w.withColumn("ww", F.split("window", " "))
-    w = w.withColumn("wsh", _shingles(F.col("ww"), F.size("ww"), F.least(F.col("k"), F.size("ww")))).withColumn("wh", _hashes("wsh")).withColumn("wfp", _fingerprint("wh"))
+    w = w.withColumn("wsh", _shingles(F.col("ww"), F.size("ww"), F.least(F.col("k"), F.size("ww")))).withColumn("wh", _hashes("wsh"))
+    w = _with_fingerprint(w, "wh", "wfp")
     w = w.select("rid", "doc_id", "n", "start", "wsh", "wfp", blocks("wfp")).select("*", "e.b", "e.v").drop("e")
-    i = i.withColumn("ih", _hashes("ish")).withColumn("ifp", _fingerprint("ih")).select("item_id", "n", "ish", "ifp", blocks("ifp")).select("*", "e.b", "e.v").drop("e")
+    i = _with_fingerprint(i.withColumn("ih", _hashes("ish")), "ih", "ifp").select("item_id", "n", "ish", "ifp", blocks("ifp")).select("*", "e.b", "e.v").drop("e")
     i = F.broadcast(i) if small_enough(i, BROADCAST_ROWS // 10) else i
     x = F.col("wfp").bitwiseXOR(F.col("ifp"))
     first = F.coalesce(*[F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(b)) for b, m in enumerate(masks)])
