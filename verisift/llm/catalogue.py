@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate, htmltext, langid, licenses, neighbours, packing, shards, simhash, urlfilter, warc
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {"op2_warc": warc.SQL, "op7_shards": shards.SQL, "op9_url_filter": urlfilter.SQL}

@@ -204,3 +204,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
+
+
+def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, unchanged, whose text has a language: those that identify() calls ``und`` go."""
+    bounded_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(Model(sample(docs, id_col, text_col, lang_col)))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            langs = [x for x, _ in model.value.predict(batch.column(at).to_pylist())]
+            yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -190,3 +190,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, fingerprint=shingle_fingerprint) -> DataFrame:
+    """docs with one document of each group of near_groups: the one with the smallest id, a repeated row once.
+
+    Rows with a null id belong to no group and stay.
+    """
+    groups = near_groups(docs, id_col, text_col, radius, fingerprint)
+    kept = save(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")).withColumnRenamed("doc_id", "__kept"), "kept")
+    out = docs.join(kept, F.col(id_col) == F.col("__kept"))
+    if not kept.where("__rows > 1").isEmpty():
+        once = out.where("__rows > 1").dropDuplicates([id_col])
+        out = out.where("__rows = 1").union(once)
+    return out.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
