@@ -106,6 +106,7 @@ DURATION_CAPS = {"سنه": 150, "شهر": 1200, "اسبوع": 5200, "يوم": 36
 DURATION_DAYS = {"يوم": 1.0, "اسبوع": 7.0, "شهر": 30.44, "سنه": 365.25}
 SPAN_WORDS = "من|خلال|لمده|لمدة|حتى|الى|إلى"
 DINAR = "دينار"
+UNREADABLE = ("غير مقروء", "غير مقروءة", "غير واضح")
 
 #: Links with these starts lead to no page.
 SKIPPED_SCHEMES = ("javascript:", "mailto:", "tel:", "data:", "#")
