@@ -36,15 +36,18 @@ def bm25(index: DataFrame, n_docs: Column | float, avg_len: Column | float, quer
     then joined on whole terms. A query term counts all terms of an article that start with it; its rarity comes
     from the number of articles that have any, with a floor for those in half of the articles or more.
     """
-    prefixes = _small(queries.select("qterm").distinct().withColumn("__two", F.left("qterm", F.lit(2))))
+    prefixes = queries.select("qterm").distinct().withColumn("__two", F.left("qterm", F.lit(2)))
+    few = prefixes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = F.broadcast if few else lambda df: df  # what has a row for each query term at most is as small
+    prefixes = small(prefixes)
     words = index.select("term").distinct().withColumn("__two", F.left("term", F.lit(2)))
     met = words.join(prefixes, "__two").where(F.col("term").startswith(F.col("qterm"))).select("term", "qterm")
-    hits = index.join(_small(met), "term").groupBy("qterm", *keys, "doc_len").agg(F.sum("tf").alias("tf"))
+    hits = index.join(met, "term").groupBy("qterm", *keys, "doc_len").agg(F.sum("tf").alias("tf"))
     idf = F.log((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
     rarity = hits.groupBy("qterm").agg(F.count("*").alias("n")).select("qterm", F.when(idf > 0, idf).otherwise(IDF_FLOOR).alias("idf"))
     tf = F.col("tf").cast("double")
     weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / avg_len))
-    scored = hits.join(_small(rarity), "qterm").select("qterm", *keys, weight.alias("w"))
+    scored = hits.join(small(rarity), "qterm").select("qterm", *keys, weight.alias("w"))
     return scored.join(_small(queries), "qterm").groupBy(query_id, *keys).agg(F.sum("w").alias("score"))
 
 
@@ -56,8 +59,8 @@ def search(articles: DataFrame, instruments: DataFrame, queries: DataFrame, quer
     areas of queries). Ties are broken by instrument and article.
     """
     keys = ["instrument_id", "article_key"]
-    index = postings(articles, keys)
-    n_docs, total = articles.agg(F.count("*"), F.sum(F.size(stems(fold("text"))))).first()
+    index = postings(articles, keys).persist()  # used three times below
+    n_docs, total = articles.count(), index.agg(F.sum("tf")).first()[0]
     scored = bm25(index, float(n_docs), float(total or 0) / max(n_docs, 1) or 1.0, query_terms(queries, query_id, text), keys, query_id)
     # Equal sums may differ in the last bits by the order of addition.
     order = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), *keys)
