@@ -527,3 +527,11 @@ def test_stream(spark, tmp_path):
 def test_lexicon():
     words = lexicon.ordinals()
     assert words["الأولى"] == words["الاول"] == 1 and words["الثانية عشرة"] == 12 and words["الحادي عشر"] == 11 and words["العشرين"] == 20
+
+
+def test_web_and_readings(spark):
+    staged = [("a.HTML", "<p>é</p><title>T</title>".encode()), ("b.txt", "نص".encode("windows-1256")), ("c.txt", b"x<HTML><body><nav>n</nav><p>y"), ("d.pdf", b"%PDF-"), ("e", b"x")]
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in staged], "path string, content binary")
+    assert {r.path: (r.text, r.title) for r in documents.web_text(df).collect()} == {"a.HTML": ("é", "T"), "b.txt": ("نص", ""), "c.txt": ("x\ny", "")}
+    assert [r.x for r in df.select(documents.unsupported_reason("path").alias("x")).collect()] == [None, None, None, "suffix:pdf", "no_suffix"]
+    assert {(r.path, r.reader) for r in documents.readings(df.where("path <> 'd.pdf'")).collect()} == {("a.HTML", "only"), ("b.txt", "only"), ("c.txt", "only"), ("e", "only")}

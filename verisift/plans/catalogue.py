@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import content_terms, fold, snippet, stems, thousands, tokens
+from ..functions.text import fold, snippet, stems, thousands, tokens
 from ..operators import citations, contracts, fields, links, retrieval, verify, workflow
 from ..sources import documents as files
 from ..sources import store, worddoc
@@ -338,7 +338,7 @@ _RULE_VALUES = ", ".join(f"({'NULL' if t is None else repr(t)}, {p!r}, {k!r}, {b
 
 @query(f"""WITH r(ctype, part, key, basis, patterns) AS (VALUES {_RULE_VALUES}), d AS (SELECT doc_id, lang, {_fold('text')} AS f FROM documents),
 x AS (SELECT doc_id, lang AS ctype, part, key, basis, len(list_filter(patterns, lambda p: contains(f, p))) > 0 AS present FROM d JOIN r ON r.ctype IS NULL OR r.ctype = lang)
-SELECT doc_id, ctype, part, key, present, CASE WHEN (part = 'required') = present THEN CASE WHEN present THEN 'found' ELSE 'none' END WHEN basis = 'statutory' THEN 'manual' ELSE 'problem' END AS status FROM x""".replace("CASE WHEN (part = 'required') = present THEN", "CASE WHEN (part = 'required') = present THEN"))
+SELECT doc_id, ctype, part, key, present, CASE WHEN (part = 'required') = present THEN CASE WHEN present THEN 'found' ELSE 'none' END WHEN basis = 'statutory' THEN 'manual' ELSE 'problem' END AS status FROM x""")
 def clause_presence(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("ctype", F.col("lang"))
     return contracts.clause_findings(docs, _rules(spark, sf_dir)).select("doc_id", "ctype", "part", "key", "present", "status")
@@ -398,6 +398,3 @@ def stage_transition_violations(spark, sf_dir):
 SELECT stage, min(steps) AS steps FROM w GROUP BY stage""")
 def reachability(spark, sf_dir):
     return workflow.reachable(_allowed(spark), "signup")
-
-
-__all__ = ["QUERIES", "ORACLE_SQL", "content_terms"]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, escape_xml
+from ..functions.text import col
 
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 _OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -147,5 +147,3 @@ def read_worksheets(sheets: DataFrame, id_col: str, fields: dict[str, str], answ
     value = lambda name: F.regexp_extract("__s", rf"\*\*\Q{name}\E:\*\* `([^`]*)`", 1)
     return rows.select(id_col, F.regexp_extract("__s", r"^[^\n]*", 0).alias("item"), *[value(n).alias(c) for n, c in fields.items()], F.trim(F.regexp_extract("__s", rf"\*\*\Q{answer}\E:\*\*[ \t]*([^\n]*)", 1)).alias("answer"))
 
-
-__all__ = ["markdown_blocks", "block_rows", "docx", "word_documents", "releasable", "worksheets", "read_worksheets", "escape_xml"]
