@@ -20,4 +20,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op2_warc": warc.SQL, "op7_shards": shards.SQL, "op9_url_filter": urlfilter.SQL}
+ORACLE_SQL = {"op2_warc": warc.SQL, "op7_shards": shards.SQL, "op9_url_filter": urlfilter.SQL, "op10_decontaminate": decontaminate.SQL}

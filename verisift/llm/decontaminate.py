@@ -132,3 +132,22 @@ def without_leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", **
     found = save(leaks(docs, items, doc_col, **how).where("doc_id is not null").select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
     found = F.broadcast(found) if small_enough(found, BROADCAST_ROWS) else found
     return docs.join(found, F.col(doc_col) == F.col("__leak"), "left_anti")
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+#: All windows that share a shingle with an item, without fingerprints: what the operator finds within its radius.
+SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, iw, len(iw) AS n, least({SHINGLE_WORDS}, len(iw)) AS k FROM (SELECT DISTINCT item_id, {_WORDS} AS iw FROM benchmark) WHERE len(iw) > 0),
+ig AS (SELECT item_id, n, k, o, array_to_string(iw[o + 1:o + k], ' ') AS g FROM (SELECT *, unnest(range(0, n - k + 1)) AS o FROM i)),
+dg AS (SELECT doc_id, size, p, k, array_to_string(w[p + 1:p + k], ' ') AS g FROM (SELECT doc_id, w, len(w) AS size, k, unnest(range(0, len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM i))),
+win AS (SELECT DISTINCT doc_id, n, k, greatest(0, least(p - o, size - n)) AS start FROM dg JOIN (SELECT DISTINCT n, k, o, g FROM ig) USING (k, g)),
+ww AS (SELECT doc_id, n, start, least(k, len(w[start + 1:start + n])) AS k, w[start + 1:start + n] AS w FROM win JOIN d USING (doc_id)),
+ws AS (SELECT doc_id, n, start, len(w) - k + 1 AS size, array_to_string(w[j + 1:j + k], ' ') AS g FROM (SELECT *, unnest(range(0, len(w) - k + 1)) AS j FROM ww)),
+wc AS (SELECT doc_id, n, start, size, g, count(*) AS c FROM ws GROUP BY ALL),
+ic AS (SELECT item_id, n, n - k + 1 AS isize, g, count(*) AS c FROM ig GROUP BY ALL),
+m AS (SELECT doc_id, item_id, n, start, size, isize, sum(least(wc.c, ic.c)) AS shared FROM wc JOIN ic USING (n, g) GROUP BY ALL),
+s AS (SELECT doc_id, item_id, start, n, shared / (size + isize - shared) AS similarity FROM m)
+SELECT doc_id, item_id, start AS word_start, n AS n_words, similarity FROM s WHERE similarity >= {SIMILARITY}
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
