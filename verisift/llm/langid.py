@@ -123,6 +123,13 @@ class Model:
         self.tables = [automaton(s, self.width) for s in learned]
         self.weights = np.array([math.log2(len(s) + 1) for s in learned])
 
+    @classmethod
+    def of(cls, parts: dict) -> Model:
+        """A model from its parts (vars of another), which need no import to be sent to executors."""
+        out = cls.__new__(cls)
+        vars(out).update(parts)
+        return out
+
     def bits(self, texts: list[str]) -> np.ndarray:
         """Bits a character of each text in each language: phrases, normalised by both lengths."""
         seqs = [codes(t, self.lut) for t in texts]
@@ -189,13 +196,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     size and is broadcast.
     """
     bounded_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(Model(sample(docs, id_col, text_col, lang_col)))
+    model = docs.sparkSession.sparkContext.broadcast(vars(Model(sample(docs, id_col, text_col, lang_col))))
 
     def run(batches):
+        own = Model.of(model.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                langs, scores = zip(*model.value.predict(part.column(2).to_pylist()))
+                langs, scores = zip(*own.predict(part.column(2).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
@@ -209,12 +217,13 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs, unchanged, whose text has a language: those that identify() calls ``und`` go."""
     bounded_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(Model(sample(docs, id_col, text_col, lang_col)))
+    model = docs.sparkSession.sparkContext.broadcast(vars(Model(sample(docs, id_col, text_col, lang_col))))
     at = docs.columns.index(text_col)
 
     def run(batches):
+        own = Model.of(model.value)
         for batch in batches:
-            langs = [x for x, _ in model.value.predict(batch.column(at).to_pylist())]
+            langs = [x for x, _ in own.predict(batch.column(at).to_pylist())]
             yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
