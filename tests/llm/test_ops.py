@@ -361,6 +361,30 @@ def brute_components(ids, fps, radius):
     return root
 
 
+@pytest.mark.parametrize("radius, pairs", [(3, 1 << 32), (6, 1 << 32), (6, 4)])
+def test_wider_parts_lose_no_pair(spark, monkeypatch, radius, pairs):
+    monkeypatch.setattr(simhash, "RUN_PAIRS", pairs)
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    if pairs == 4:  # workers import the module afresh
+        monkeypatch.setattr(simhash, "_cross_links", lambda radius, f=simhash._cross_links: _with_pairs(f, radius, pairs))
+    rng, fps = random.Random(radius), []
+    for _ in range(10):
+        centre = rng.getrandbits(64)
+        fps += [centre ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(7))) for _ in range(15)]
+    signed = sorted({simhash._signed(f) for f in fps})
+    got = dict(rows(simhash.fingerprint_parts(spark.createDataFrame([(f,) for f in signed], "fp long"), radius)))
+    want = brute_components(signed, [f & (1 << 64) - 1 for f in signed], radius)
+    assert all(got.get(f, f) == want[f] for f in signed)
+
+
+def _with_pairs(make, radius, pairs):
+    def run(batches):
+        simhash.RUN_PAIRS = pairs
+        yield from make(radius)(batches)
+
+    return run
+
+
 @pytest.mark.parametrize("radius, bucket", [(2, 4_096), (2, 4), (4, 4_096), (4, 4)])
 def test_links_lose_no_pair(spark, monkeypatch, radius, bucket):
     monkeypatch.setattr(simhash, "BUCKET", bucket)

@@ -8,13 +8,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, save, table
+from .common import drop, save, small_enough, table
 from .components import connected_components
 
 SHINGLE_WORDS = 3
 RADIUS = 2
 #: Buckets of up to so many distinct fingerprints are compared inside one task; larger ones are dealt out further.
 BUCKET = 4_096
+#: Comparisons that one bucket of a wider covering may take in one task.
+RUN_PAIRS = 1 << 32
 
 
 def _bits_over_half(hashes: list[int]) -> int:
@@ -163,6 +165,90 @@ def _by_blocks(large: DataFrame, radius: int) -> DataFrame:
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_bucket_links(radius), "a long, b long")
 
 
+def _cross_links(radius: int):
+    """From rows (fp, part, key) sorted by key: pairs (a, b) of parts that have fingerprints within the radius of
+    each other. Runs that would take a task too long come back whole, as (fp, part, key)."""
+    shape = [("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())]
+
+    def pairs(fps, parts):
+        names, where, sizes = np.unique(parts, return_inverse=True, return_counts=True)
+        minor = np.flatnonzero(where != int(np.argmax(sizes)))
+        if len(minor) * len(fps) > RUN_PAIRS:
+            return None
+        found = set()
+        for i in minor.tolist():
+            near = np.unique(where[np.bitwise_count(fps ^ fps[i]) <= radius])
+            found.update((min(where[i], j), max(where[i], j)) for j in near.tolist() if j != where[i])
+        return [(int(names[i]), int(names[j])) for i, j in found]
+
+    def out(rows):
+        cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in rows[:2]]
+        key = pa.array(rows[2], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), key], schema=pa.schema(shape))
+
+    def links(fps, parts, keys, final):
+        starts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+        stop = len(starts) - 1 if final else len(starts) - 2
+        rows: tuple = ([], [], [])
+        # Runs with more than one part: the smallest and the largest differ.
+        ends = starts[: stop + 1]
+        if stop:
+            cut = slice(0, int(ends[-1]))
+            mixed = np.minimum.reduceat(parts[cut], ends[:-1]) != np.maximum.reduceat(parts[cut], ends[:-1])
+            for r in np.flatnonzero(mixed).tolist():
+                lo, hi = int(ends[r]), int(ends[r + 1])
+                found = pairs(fps[lo:hi].view(np.uint64), parts[lo:hi])
+                if found is None:
+                    rows[0].append(fps[lo:hi]), rows[1].append(parts[lo:hi])
+                    rows[2].extend([int(keys[lo])] * (hi - lo))
+                elif found:
+                    both = np.array(found, dtype=np.int64)
+                    rows[0].append(both[:, 0]), rows[1].append(both[:, 1])
+                    rows[2].extend([None] * len(found))
+        at = int(starts[stop])
+        return out(rows), (fps[at:], parts[at:], keys[at:])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if len(cols[0]):
+                found, held = links(*([np.concatenate(x) for x in zip(held, cols)] if held else cols), False)
+                yield found
+        if held:
+            yield links(*held, True)[0]
+
+    return run
+
+
+def fingerprint_parts(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, part of the distinct fingerprints (points: fp) that have a link: the connected parts.
+
+    A radius over 2 is done in two steps. Links within 2 give parts first, cheaply. Then the wider covering deals
+    (fingerprint, part) rows into its buckets in one shuffle, and only fingerprints of different parts are compared,
+    those outside of a bucket's largest part with all others. So a dense group of near copies costs little in each
+    of the many tables, and links are between parts, of which there are few.
+    """
+    parts = connected_components(hamming_links(points, min(radius, RADIUS))).select(F.col("node").alias("fp"), F.col("component").alias("part"))
+    if radius <= RADIUS:
+        return parts
+    all_ = save(points.select("fp").join(parts, "fp", "left").select("fp", F.coalesce("part", "fp").alias("part")), "first-parts")
+    masks = covering_masks(radius)
+    key = F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)]))
+    dealt = all_.select("fp", "part", key.alias("key")).repartition("key").sortWithinPartitions("key")
+    found = save(dealt.mapInArrow(_cross_links(radius), "a long, b long, key long"), "cross-links")
+    links = found.where("key is null").select("a", "b")
+    large = found.where("key is not null")
+    if not large.isEmpty():  # a third way that no bucket is too large for
+        sized = large.join(save(large.groupBy("key").agg(F.count("*").alias("n")), "sizes"), "key")
+        pairs = _by_blocks(sized.select(F.col("a").alias("fp"), F.lit(0).alias("t"), "key", "n"), radius)
+        of = lambda c: all_.select(F.col("fp").alias(c), F.col("part").alias(f"p{c}"))
+        links = links.union(pairs.join(of("a"), "a").join(of("b"), "b").select("pa", "pb"))
+    wider = connected_components(links.distinct()).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    joined = all_.join(wider, "part", "left").select("fp", F.coalesce("whole", "part").alias("part"))
+    return joined.where("part <> fp").union(joined.where("part <> fp").select(F.col("part").alias("fp"), "part").distinct())
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, fingerprint=shingle_fingerprint) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links) of every row.
 
@@ -173,8 +259,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     fps = save(fingerprints(docs, id_col, text_col, fingerprint), "fingerprints")
     points = save(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("n")), "points")
-    parts = connected_components(hamming_links(points.select("fp"), radius))
-    linked = points.join(parts.select(F.col("node").alias("fp"), F.col("component").alias("part")), "fp")
+    linked = points.join(fingerprint_parts(points.select("fp"), radius), "fp")
     least = save(linked.groupBy("part").agg(F.min("node").alias("component")), "parts")
     linked = save(linked.select("fp", "part"), "linked")
     copies = points.where("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("node").alias("component"))
@@ -192,15 +277,23 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+#: Up to so many ids of dropped documents are broadcast; more are joined by a shuffle of the texts.
+BROADCAST_IDS = 1_000_000
+
+
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, fingerprint=shingle_fingerprint) -> DataFrame:
     """docs with one document of each group of near_groups: the one with the smallest id, a repeated row once.
 
-    Rows with a null id belong to no group and stay.
+    Rows with a null id belong to no group and stay. Rows of one id with different texts stay or go together, as
+    the one of them that stays says.
     """
-    groups = near_groups(docs, id_col, text_col, radius, fingerprint)
-    kept = save(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")).withColumnRenamed("doc_id", "__kept"), "kept")
-    out = docs.join(kept, F.col(id_col) == F.col("__kept"))
-    if not kept.where("__rows > 1").isEmpty():
-        once = out.where("__rows > 1").dropDuplicates([id_col])
-        out = out.where("__rows = 1").union(once)
-    return out.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+    groups = near_groups(docs, id_col, text_col, radius, fingerprint).where("doc_id is not null")
+    ids = save(groups.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("keep"), F.count("*").alias("n")), "kept")
+    some = lambda rows: F.broadcast(rows) if small_enough(rows, BROADCAST_IDS) else rows
+    same = F.col(id_col) == F.col("__id")
+    out = docs.join(some(ids.where("not keep").select("__id")), same, "left_anti")
+    again = ids.where("keep and n > 1").select("__id")
+    if again.isEmpty():
+        return out
+    again = some(again)
+    return out.join(again, same, "left_anti").union(out.join(again, same, "left_semi").dropDuplicates([id_col]))
