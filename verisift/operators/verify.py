@@ -146,25 +146,31 @@ def calibrate(articles: DataFrame, idf: DataFrame, samples: int = lx.SAMPLES, mi
     if n < lx.LEAST_ARTICLES:
         return spark.createDataFrame([(lx.FLOOR, n, 0, None, None, False)], shape)
     draw = lambda *what: F.pmod(F.xxhash64(F.lit(seed), *what), F.lit(1 << 30)) / float(1 << 30)
-    # A numbering of all articles, by counts of their instruments: no global sort.
-    inst = usable.groupBy("instrument_id").agg(F.count("*").alias("__n"))
-    starts = inst.withColumn("__from", F.sum("__n").over(Window.orderBy("instrument_id")) - F.col("__n"))
-    place = F.row_number().over(Window.partitionBy("instrument_id").orderBy("article_key", "text"))
-    placed = usable.withColumn("__k", place).join(starts, "instrument_id").withColumn("__i", F.col("__from") + F.col("__k") - 1)
-    picks = spark.range(samples).withColumnRenamed("id", "s").withColumn("__i", F.floor(draw(F.col("s"), F.lit("article")) * n))
-    own = placed.join(F.broadcast(picks), "__i")
+    # The articles with the smallest hashes: a partial top k in every task. Few articles are drawn more than once.
+    repeated = usable.select("instrument_id", "article_key", "text", "__w", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // n) - 1))).alias("__r"))
+
+    def drawn(what: str) -> DataFrame:
+        h = F.xxhash64(F.lit(seed), F.lit(what), "instrument_id", "article_key", "text", "__r")
+        best = repeated.withColumn("__h", h).orderBy("__h", "instrument_id", "article_key").limit(samples)
+        return best.withColumn("s", F.row_number().over(Window.orderBy("__h", "instrument_id", "article_key", "__r")))  # of `samples` rows
+
+    own = drawn("article").persist()
     size = F.size("__w")
     span = F.greatest(F.lit(6), F.floor(size * (0.45 + 0.3 * draw(F.col("s"), F.lit("span")))).cast("int"))
     first = F.floor(draw(F.col("s"), F.lit("start")) * (F.greatest(F.lit(0), size - span) + 1)).cast("int")
     chunk = F.slice("__w", first + 1, span)
     kept = F.filter(chunk, lambda w, i: draw(F.col("s"), F.lit("word"), i) > 0.18)
-    own = own.withColumn("claim", F.array_join(F.when(F.size(kept) > 0, kept).otherwise(chunk), " "))
-    beside = F.when(F.col("__k") == 1, 1).when(F.col("__k") == F.col("__n"), -1).when(draw(F.col("s"), F.lit("side")) < 0.5, -1).otherwise(1)
-    anywhere = F.floor(draw(F.col("s"), F.lit("other")) * n)
-    other = F.when((F.col("__n") > 1) & (draw(F.col("s"), F.lit("near")) < 0.6), F.col("__i") + beside).otherwise(anywhere)
-    own = own.select("s", "claim", F.col("text").alias("article"), "__i", other.alias("__o"))
-    wrong = own.where("__o <> __i").select("s", "claim", F.col("__o").alias("__i")).join(placed.select("__i", F.col("text").alias("article")), "__i")
-    pairs = own.select("s", "claim", "article", F.lit(True).alias("right")).union(wrong.select("s", "claim", "article", F.lit(False)))
+    claim = F.array_join(F.when(F.size(kept) > 0, kept).otherwise(chunk), " ")
+    mine = own.select("s", "instrument_id", F.col("article_key").alias("__k"), claim.alias("claim"), F.col("text").alias("__own"))
+    # Neighbours in the instrument, by keys: reduced before the shuffle, however large an instrument is.
+    beside = usable.select("instrument_id", "article_key", "text").join(F.broadcast(mine.select("s", "instrument_id", "__k")), "instrument_id")
+    side = lambda test, pick: pick(F.when(test, F.col("text")), F.when(test, F.col("article_key")))
+    beside = beside.groupBy("s").agg(side(F.col("article_key") < F.col("__k"), F.max_by).alias("__before"), side(F.col("article_key") > F.col("__k"), F.min_by).alias("__after"))
+    either = F.when(draw(F.col("s"), F.lit("side")) < 0.5, F.coalesce("__before", "__after")).otherwise(F.coalesce("__after", "__before"))
+    rows = mine.join(beside, "s", "left").join(drawn("other").select("s", F.col("text").alias("__any")), "s", "left")
+    wrong = F.coalesce(F.when(draw(F.col("s"), F.lit("near")) < 0.6, either), F.col("__any"))
+    pairs = mine.select("s", "claim", F.col("__own").alias("article"), F.lit(True).alias("right"))
+    pairs = pairs.union(rows.where(wrong != F.col("__own")).select("s", "claim", wrong.alias("article"), F.lit(False)))
     scored = overlap(pairs, idf, ["s", "right"]).select("s", "right", "overlap").persist()
     wrong_n = scored.where("not right").count()
     if not wrong_n:
