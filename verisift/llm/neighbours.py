@@ -17,7 +17,9 @@ EVERY = 20
 #: Hash functions, i.e. random projections, and how often a vector must collide with the query to be verified.
 PROJECTIONS, THRESHOLD = 24, 12
 #: Windows widen by this factor from round to round.
-WIDEN = 1.3
+WIDEN = 1.4
+#: Share of a block that a window holds on average when collisions are first counted; narrower ones tell nothing.
+FIRST_SHARE = 0.15
 #: Queries whose windows are looked up at a time.
 TOGETHER = 128
 #: Vectors in a block of candidates and in a block of queries.
@@ -59,18 +61,22 @@ class Index:
         for q, query in enumerate(queries):
             want = min(k, n - (own[q] >= 0))
             totals = width[q].sum(axis=0, dtype=np.int64)
-            for r in range(int(np.searchsorted(totals, want * THRESHOLD)), rounds):
-                # The windows of a later round hold those of the earlier ones, so that hits can be counted afresh.
+            done = np.zeros(n, bool)
+            if own[q] >= 0:
+                done[own[q]] = True
+            rows, scores, kth = np.empty(0, np.int64), np.empty(0), 0.0
+            for r in range(min(int(np.searchsorted(totals, FIRST_SHARE * n * PROJECTIONS)), rounds - 1), rounds):
+                # The windows of a round hold those of the rounds before, so that hits can be counted afresh.
                 inside = self.places - left[q, :, r, None] < width[q, :, r, None]
                 last = r == rounds - 1
-                rows = np.arange(n) if last else np.flatnonzero(np.add.reduce(inside, axis=0, dtype=np.uint8) >= THRESHOLD)
-                if own[q] >= 0:
-                    rows = rows[rows != own[q]]
+                new = ~done if last else (np.add.reduce(inside, axis=0, dtype=np.uint8) >= THRESHOLD) & ~done
+                found = np.flatnonzero(new)
+                done |= new
+                rows, scores = np.concatenate([rows, found]), np.concatenate([scores, self.vectors[found] @ query])
                 if len(rows) < want:
                     continue
-                scores = self.vectors[rows] @ query
                 kth = np.partition(scores, len(scores) - want)[len(scores) - want] if want else 0.0
-                if last or 2 * self.longest**2 - 2 * self.longest * kth / sizes[q] <= self.halves[r] ** 2:  # squared distance of the k-th found
+                if 2 * self.longest**2 - 2 * self.longest * kth / sizes[q] <= self.halves[r] ** 2:  # squared distance of the k-th found
                     break
             # Equal vectors get equal scores only if each is summed in the same way.
             rows = rows[scores >= kth - 1e-9 * self.longest * sizes[q]] if want else rows[:0]
