@@ -15,6 +15,8 @@ from .urlfilter import split_url
 #: Hosts with more pages are dealt into groups of about half as many; neighbours are looked for within a group.
 HOST_PAGES = 512
 BROADCAST_HOSTS = 200_000
+#: Pages of a task, on average, at most.
+TASK_PAGES = 20_000
 #: A neighbour that shares more of a page's characters is a copy of it and says nothing about its boilerplate.
 COPY_SHARE = 0.8
 
@@ -245,7 +247,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     large = save(rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > HOST_PAGES).select("host", F.ceil(F.col("n") * 2 / HOST_PAGES).alias("groups")), "hosts")
     large = F.broadcast(large) if small_enough(large, BROADCAST_HOSTS) else large
     dealt = rows.join(large, "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("path", "page_id"), F.col("groups")), F.lit(0)))
-    dealt = dealt.select("host", "part", "path", "page_id", "url", "html").repartition("host", "part").sortWithinPartitions("host", "part", "path", "url", "page_id")
+    tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pages.count() // TASK_PAGES))
+    dealt = dealt.select("host", "part", "path", "page_id", "url", "html").repartition(tasks, "host", "part").sortWithinPartitions("host", "part", "path", "url", "page_id")
     schema = _TEXT.format(rows.schema["page_id"].dataType.simpleString())
 
     def run(batches):

@@ -20,6 +20,8 @@ END_ID = 1
 VOCABULARY = "byte_bpe_50k"
 #: Tokens in a bin, the unit that one task packs, on average.
 BIN_TOKENS = 1 << 20
+#: Bins of a task, on average, at most.
+TASK_BINS = 16
 #: Bins that take over what a bin lacks of a source.
 CARRY = 8
 #: Texts are encoded in parts of about so many characters.
@@ -197,7 +199,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     carried = lack.select("source", "lack", F.explode(F.sequence(F.col("b") + 1, F.col("b") + CARRY)).alias("b")).groupBy("b", "source").agg(F.sum("lack").alias("lack"))
     clamped = F.greatest(F.least(F.col("carried.lack"), F.lit(float(window))), F.lit(-float(window)))
     plan = lack.alias("own").join(carried.alias("carried"), ["b", "source"], "left").select("b", "source", "share", F.coalesce(clamped, F.lit(0.0)).alias("owed"))
-    rows = tokens.withColumn("o", F.xxhash64("rid"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bins // TASK_BINS))
+    rows, plan = tokens.withColumn("o", F.xxhash64("rid")).repartition(tasks, "b"), plan.repartition(tasks, "b")
     return rows.groupBy("b").cogroup(plan.groupBy("b")).applyInArrow(_pack_bin(window), _PIECES)
 
 
