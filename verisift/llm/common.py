@@ -13,10 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: This process' folder below the shared one.
+RUN = uuid.uuid4().hex
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one made here where that is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or (sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else None)
+    sc, key = spark.sparkContext, "spark.checkpoint.dir"
+    found = spark.conf.get(key, None) or sc.getConf().get(key)
+    if not found and sc._jsc.sc().getCheckpointDir().isDefined():
+        found = sc._jsc.sc().getCheckpointDir().get()
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='verisift-')}"
         sc.setCheckpointDir(found)
@@ -25,7 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/verisift/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/verisift/{RUN}/{name}-{uuid.uuid4().hex}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes all that this process has saved; results that have not been written yet cannot be read after it."""
+    remove(spark, f"{shared_dir(spark)}/verisift/{RUN}")
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
