@@ -341,6 +341,7 @@ def test_shards(spark):
 @pytest.mark.parametrize("radius", [1, 2, 3, 6])
 def test_masks_cover_every_pair(radius):
     masks, rng = simhash.covering_masks(radius), random.Random(radius)
+    assert min(m.bit_count() for m in masks) >= 20
     for _ in range(2000):
         flips = sum(1 << i for i in rng.sample(range(64), radius))
         assert any(not flips & m for m in masks)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -62,13 +64,20 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, fingerprint=shingl
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
     """2^(radius+1) - 1 masks: for any radius or fewer positions, one of the masks has none of them.
 
-    Every bit position i gets a nonzero vector a(i) of radius + 1 bits, dealt in turn; the mask of a nonzero vector v
-    holds the positions where <a(i), v> is odd. The vectors of radius positions do not span the space, so that some
-    v is orthogonal to all of them.
+    Every bit position i gets a nonzero vector a(i) of radius + 1 bits; the mask of a nonzero vector v holds the
+    positions where <a(i), v> is odd. The vectors of radius positions do not span the space, so that some v is
+    orthogonal to all of them. About half of the positions are in a mask; where there are more vectors than
+    positions, the vectors are drawn such that the smallest mask is large.
     """
     full = (1 << (radius + 1)) - 1
-    vectors = [i % full + 1 for i in range(bits)]
-    return [sum(1 << i for i, a in enumerate(vectors) if (a & v).bit_count() & 1) for v in range(1, full + 1)]
+
+    def masks(vectors):
+        return [sum(1 << i for i, a in enumerate(vectors) if (a & v).bit_count() & 1) for v in range(1, full + 1)]
+
+    if full <= bits:
+        return masks([i % full + 1 for i in range(bits)])
+    draws = (masks(random.Random(seed).sample(range(1, full + 1), bits)) for seed in range(64))
+    return max(draws, key=lambda m: min(x.bit_count() for x in m))
 
 
 def _signed(x: int) -> int:
