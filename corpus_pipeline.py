@@ -11,10 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from verisift.llm import decontaminate, langid, packing, simhash
 from verisift.llm.common import save, table
 
-#: Largest number of differing bits of two near copies' fingerprints. They are taken from a document's distinct long
-#: words, so that copies with a similarity of 0.8 or more of their five-word shingles (about one word in fifty
-#: changed) lie within it in nine cases of ten; unrelated documents differ in about 32 bits.
-NEAR_BITS = 6
+#: Radius of the covering that finds candidates, whose similarity of five-word shingles (0.8 or more) decides.
+NEAR_BITS = 7
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash.without_near_copies(docs, radius=NEAR_BITS, fingerprint=simhash.word_fingerprint)
+    return simhash.without_near_copies(docs, radius=NEAR_BITS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -436,6 +436,41 @@ def test_near_groups(spark):
     assert rows(simhash.near_groups(docs_frame(spark, []))) == []
 
 
+def edited(rng, words, n):
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"edit{rng.randrange(10**6)}"
+    return words
+
+
+@pytest.mark.parametrize("run_rows", [1 << 16, 2])
+def test_similar_groups(spark, monkeypatch, run_rows):
+    if run_rows == 2:  # workers see the number that the function carries with it
+        monkeypatch.setattr(simhash, "RUN_ROWS", run_rows)
+        monkeypatch.setattr(simhash, "BUCKET", 4)
+    rng, texts = random.Random(21), []
+    for family in range(12):
+        base = [f"word{rng.randrange(3000)}" for _ in range(220)]
+        for copy in range(8):
+            texts.append((len(texts), " ".join(edited(rng, base, rng.choice([0, 1, 2, 3, 30])))))
+    texts += [(500, None), (501, ""), (502, "kurz"), (503, "KURZ"), (504, "kurz zwei"), (0, texts[0][1]), (None, texts[0][1])]
+    got = {}
+    for i, c in rows(simhash.similar_groups(docs_frame(spark, texts))):
+        got.setdefault(i, set()).add(c)
+    assert all(len(c) == 1 for c in got.values())
+    got = {i: c.pop() for i, c in got.items()}
+    ids = sorted(i for i in got)
+    sets = {i: simhash.shingle_set((t or "").encode()) for i, t in texts if i is not None}
+    root = {i: i for i in ids}
+    similar = [(a, b) for a in ids for b in ids if a < b and simhash.similarity(sets[a], sets[b]) >= 0.8]
+    for _ in ids:
+        for a, b in similar:
+            root[a] = root[b] = min(root[a], root[b])
+    assert all(root[got[i]] == root[i] for i in ids)  # no group holds documents that are not linked
+    assert sum(got[i] == root[i] for i in ids) >= 0.9 * len(ids)
+    assert got[500] == got[501] == 500 and got[502] == got[503] == 502 and got[504] == 504
+
+
 # -- URLs -------------------------------------------------------------------------------------------------------------
 
 
