@@ -11,9 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from verisift.llm import decontaminate, langid, packing, simhash
 from verisift.llm.common import save, table
 
-#: Radius of the covering that finds candidates, whose similarity of five-word shingles (0.8 or more) decides.
-NEAR_BITS = 7
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language."""
@@ -22,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash.without_near_copies(docs, radius=NEAR_BITS)
+    return simhash.without_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

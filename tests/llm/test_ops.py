@@ -471,6 +471,35 @@ def test_similar_groups(spark, monkeypatch, run_rows):
     assert got[500] == got[501] == 500 and got[502] == got[503] == 502 and got[504] == 504
 
 
+def groups_by_brute_force(texts):
+    ids = [i for i, _ in texts]
+    sets = {i: simhash.shingle_set(t.encode()) for i, t in texts}
+    root = {i: i for i in ids}
+    similar = [(a, b) for a in ids for b in ids if a < b and simhash.similarity(sets[a], sets[b]) >= 0.8]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in similar:
+            if root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    return root
+
+
+def test_dense_families_lose_no_link(spark):
+    """Variants of a template around the threshold: most candidates fail, and copies are reached past failed ones."""
+    rng, texts = random.Random(77), []
+    for family in range(4):
+        base = [f"word{rng.randrange(3000)}" for _ in range(120)]
+        for _ in range(30):
+            one = edited(rng, base, rng.choice([3, 4, 5]))
+            texts.append((len(texts), " ".join(one)))
+            texts.append((len(texts), " ".join(edited(rng, one, 2))))
+    want = groups_by_brute_force(texts)
+    assert 10 < len(set(want.values())) < 230
+    assert dict(rows(simhash.similar_groups(docs_frame(spark, texts)))) == want
+
+
 # -- URLs -------------------------------------------------------------------------------------------------------------
 
 

@@ -17,10 +17,6 @@ SHINGLE_WORDS = 3
 RADIUS = 2
 #: Buckets of up to so many distinct fingerprints are compared inside one task; larger ones are dealt out further.
 BUCKET = 4_096
-#: Links of each fingerprint in a bucket that are looked at besides a spanning forest.
-NEAREST = 2
-#: Fingerprints of a bucket that are joined to a smallest spanning forest inside one task.
-RUN_ROWS = 1 << 16
 #: Comparisons that one bucket of a wider covering may take in one task.
 RUN_PAIRS = 1 << 32
 
@@ -45,13 +41,6 @@ def shingle_fingerprint(text: bytes | None, k: int = SHINGLE_WORDS, seed: int =
     return _bits_over_half([digest(join(s), seed) for s in zip(*(words[i:] for i in range(k)))])
 
 
-def word_fingerprint(text: bytes | None, least: int = 5, seed: int = 42) -> int:
-    """SimHash of the distinct words of at least so many bytes, or of all words if none is as long; no word: 0."""
-    words = set((text or b"").lower().split())
-    long = [w for w in words if len(w) >= least]
-    return _bits_over_half([xxhash.xxh64_intdigest(w, seed) for w in long or words])
-
-
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, fingerprint=shingle_fingerprint) -> DataFrame:
     """id, fp (signed 64 bits) of every row."""
 
@@ -293,12 +282,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- near copies by similarity ----------------------------------------------------------------------------------------
 
 SIMILARITY, SIMILAR_WORDS = 0.8, 5
-#: Bits of 256 in which the shingle sketches of two texts may differ before their similarity is computed. At 0.8 they
-#: differ in 37 with a deviation of 6, at 0.6 in 59.
-SKETCH_BITS = 58
 #: Up to so many ids are broadcast; more are joined by a shuffle of the texts.
 BROADCAST_IDS = 1_000_000
-_MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+#: Shingles that a task counts at a time, and frequent ones that are known to all tasks. They set the order of
+#: shingles in a prefix, which decides how much is compared, never what is found.
+COUNT_ROWS, COMMON = 1 << 22, 1 << 19
+#: Texts with a shingle in common are compared in one task up to so many; more are dealt out by pairs of blocks.
+RUN_ROWS = 4_096
+#: Each text's first so many partners of a run are verified first, as parts that these join need no more comparisons.
+WINDOWS = (1, 8, 64)
 
 
 def shingle_set(text: bytes | None, k: int = SIMILAR_WORDS) -> np.ndarray:
@@ -316,160 +308,207 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, fp (of the distinct long words), sh (hash of the shingle set), sketch (SimHash of it, 256 bits) of each row."""
+def _set_name(hashes: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(hashes.tobytes()))
 
-    def one(text):
-        hashes = shingle_set(text)
-        mixed = [(hashes ^ (hashes >> np.uint64(29))) * np.uint64(m) for m in _MIXERS]
-        bits = [_bits_over_half((x ^ (x >> np.uint64(32))).tolist()) for x in mixed]
-        return word_fingerprint(text), xxhash.xxh64_intdigest(hashes.tobytes()), np.array(bits, dtype=np.uint64).tobytes()
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                fps, sets, marks = zip(*(one(t) for t in part.column(1).cast(pa.binary()).to_pylist()))
-                whole = [np.array(x, dtype=np.uint64).view(np.int64) for x in (fps, sets)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *map(pa.array, whole), pa.array(marks, pa.binary())], names=["id", "fp", "sh", "sketch"])
+def _texts(batches, rows: int = 512):
+    """Ids and shingle sets of batches of (id, text)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            yield part.column(0).cast(pa.int64()), [shingle_set(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
 
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, fp long, sh long, sketch binary")
 
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, node (hash of the shingle set) of each row; and rows with token and n, shingles that n of the different
+    sets of a task hold, if more than one."""
+    names = ["id", "node", "token", "n"]
 
-def _some(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
+    def counted(held):
+        found, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
+        found, n = found[n > 1].view(np.int64), n[n > 1]
+        none = pa.nulls(len(n), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(found), pa.array(n.astype(np.int64))], names=names)
 
+    def run(batches):
+        held, size = {}, 0
+        for ids, sets in _texts(batches):
+            nodes = [_set_name(s) for s in sets]
+            none = pa.nulls(len(nodes), pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), none, none], names=names)
+            for node, s in zip(nodes, sets):
+                if node not in held:
+                    held[node] = s
+                    size += len(s)
+            if size > COUNT_ROWS:
+                yield counted(held)
+                held, size = {}, 0
+        if held:
+            yield counted(held)
+
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, node long, token long, n long")
 
-def verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between documents whose similarity is SIMILARITY or more.
 
-    Sketches (nodes: node, sketch) leave out pairs that are clearly less similar; for the others the texts are
-    fetched and compared exactly.
-    """
-    of = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}"))
-    part = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-    differ = sum((F.bit_count(part("sa", i).bitwiseXOR(part("sb", i))) for i in range(4)), F.lit(0))
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    near = save(links.join(of("a"), "a").join(of("b"), "b").where(differ <= SKETCH_BITS).select("a", "b"), "near")
-    ids = near.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-    texts = save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(_some(ids), F.col("id") == F.col("__id"), "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
-    pairs = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+def _prefixes(common):
+    """From rows (id, text): the first shingles of each set, rarest first, so many that two sets of the similarity
+    share one at least. rest: size of the set from that shingle on."""
 
     def run(batches):
-        for batch in batches:
-            a, b, ta, tb = (batch.column(c).cast(t).to_pylist() for c, t in zip(("a", "b", "ta", "tb"), (pa.int64(), pa.int64(), pa.binary(), pa.binary())))
-            kept = [i for i in range(len(a)) if similarity(shingle_set(ta[i]), shingle_set(tb[i])) >= SIMILARITY]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in kept], pa.int64()) for x in (a, b)], names=["a", "b"])
+        tokens, classes = common.value
+        for _, sets in _texts(batches):
+            out = []
+            for s in sets:
+                n = len(s)
+                if not n:
+                    continue
+                at = np.minimum(np.searchsorted(tokens, s), max(len(tokens) - 1, 0))
+                often = np.where(tokens[at] == s, classes[at], 0) if len(tokens) else np.zeros(n, np.uint8)
+                first = s[np.argsort(often, kind="stable")[: n - (4 * n + 4) // 5 + 1]]
+                out.append((first.view(np.int64), np.full(len(first), _set_name(s)), np.full(len(first), n), n - np.arange(len(first))))
+            if out:
+                cols = [np.concatenate(c) for c in zip(*out)]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int64)), *(pa.array(c.astype(np.int32)) for c in cols[2:])], names=["token", "node", "n", "rest"])
 
-    out = save(pairs.mapInArrow(run, "a long, b long"), "verified")
-    drop(near)
-    drop(texts)
-    return out
+    return run
 
 
-def _nearest_links(radius: int):
-    """From rows (fp, part, key) sorted by key: links (a, b) between fingerprints of different parts, up to the
-    radius: a smallest spanning forest of each run, and the NEAREST of each fingerprint. Very long runs come back as
-    (fp, part, key)."""
-    shape = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
-
-    def spanning(fps, parts):
-        """Prim's algorithm; members of one part are at distance -1."""
-        if len(fps) == 2:
-            return [(0, 1)] if np.bitwise_count(fps[0] ^ fps[1]) <= radius else []
-        out, n = [], len(fps)
-        best, origin, left = np.full(n, 127, np.int8), np.zeros(n, np.int64), np.ones(n, bool)
-        at = 0
-        for _ in range(n - 1):
-            left[at] = False
-            d = np.bitwise_count(fps ^ fps[at]).astype(np.int8)
-            d[parts == parts[at]] = -1
-            near = np.flatnonzero((d >= 0) & (d <= radius))
-            if len(near) > NEAREST:  # of equally near ones the first, which are the same in every table
-                near = near[np.argsort(d[near], kind="stable")[:NEAREST]]
-            out += [(at, int(j)) for j in near]
-            closer = left & (d < best)
-            best[closer], origin[closer] = d[closer], at
-            at = int(np.argmin(np.where(left, best, 127)))
-            if 0 <= best[at] <= radius:
-                out.append((int(origin[at]), at))
-        return out
+def _runs(keys: int, take):
+    """Calls take(columns, starts) with whole runs of rows that are equal in the first columns, by which they are sorted."""
 
-    def links(fps, parts, keys, final):
-        starts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+    def cut(cols, final):
+        new = np.append(True, np.any([c[1:] != c[:-1] for c in cols[:keys]], axis=0))
+        starts = np.append(np.flatnonzero(new), len(new))
         stop = len(starts) - 1 if final else len(starts) - 2
-        a, b, back = [], [], []
-        if stop:
-            ends, cut = starts[: stop + 1], slice(0, int(starts[stop]))
-            mixed = np.minimum.reduceat(parts[cut], ends[:-1]) != np.maximum.reduceat(parts[cut], ends[:-1])
-            for r in np.flatnonzero(mixed).tolist():
-                lo, hi = int(ends[r]), int(ends[r + 1])
-                if hi - lo > RUN_ROWS:
-                    a.append(fps[lo:hi]), b.append(parts[lo:hi]), back.extend([int(keys[lo])] * (hi - lo))
-                    continue
-                order = np.argsort(fps[lo:hi])
-                fps[lo:hi], parts[lo:hi] = fps[lo:hi][order], parts[lo:hi][order]
-                if found := spanning(fps[lo:hi].view(np.uint64), parts[lo:hi]):
-                    pairs = np.unique(np.sort(np.array(found), axis=1), axis=0)
-                    a.append(fps[lo + pairs[:, 0]]), b.append(fps[lo + pairs[:, 1]]), back.extend([None] * len(pairs))
-        cols = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b)]
         at = int(starts[stop])
-        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(back, pa.int64())], schema=shape), (fps[at:], parts[at:], keys[at:])
+        return take([c[:at] for c in cols], starts[: stop + 1]), [c[at:] for c in cols]
 
     def run(batches):
         held = None
         for batch in batches:
-            cols = [np.array(c) for c in batch.columns]  # copies, as runs are sorted in place
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if len(cols[0]):
-                found, held = links(*([np.concatenate(x) for x in zip(held, cols)] if held else cols), False)
+                found, held = cut([np.concatenate(x) for x in zip(held, cols)] if held else cols, False)
                 yield found
-        if held:
-            yield links(*held, True)[0]
+        if held and len(held[0]):
+            yield cut(held, True)[0]
 
     return run
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 7) -> DataFrame:
-    """doc_id, component_id of every row with an id: documents linked, directly or over others, by a Jaccard
-    similarity of SIMILARITY or more of their SIMILAR_WORDS-word shingles, as far as the covering finds the links.
-
-    Documents with equal shingle sets are one node. Candidates are pairs whose fingerprints (SimHash of distinct long
-    words, which move less than those of shingles) lie within the radius. They are found in two steps: within 2
-    bits, and after these have been verified and joined to parts, within the radius between different parts. In every
-    bucket of the coverings only links of a spanning forest are verified, in the second step of the smallest one and
-    each fingerprint's nearest ones, so that the work does not grow with the square of a group. Null and empty texts
-    are one group.
-    """
-    rows = save(sketches(docs, id_col, text_col), "sketches")
-    nodes = save(rows.where("id is not null").groupBy("fp", "sh", "sketch").agg(F.min("id").alias("node")), "nodes")
-    points = save(nodes.groupBy("fp").agg(F.min("node").alias("first")), "points")
-    by_fp = lambda links: links.join(points.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(points.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    star = nodes.join(points, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    first = verified(star.union(by_fp(hamming_links(points.select("fp"), RADIUS))), nodes, docs, id_col, text_col)
-    parts = connected_components(first).select(F.col("node").alias("first"), F.col("component").alias("part"))
-    placed = points.join(parts, "first", "left").select("fp", F.coalesce("part", "first").alias("part"))
-    key = F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(covering_masks(radius))]))
-    dealt = placed.select("fp", "part", key.alias("key")).repartition("key").sortWithinPartitions("key")
-    found = save(dealt.mapInArrow(_nearest_links(radius), "a long, b long, key long"), "nearest-links")
-    links = found.where("key is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    large = found.where("key is not null")
-    if not large.isEmpty():
-        sized = large.join(save(large.groupBy("key").agg(F.count("*").alias("n")), "sizes"), "key")
-        links = links.union(_by_blocks(sized.select(F.col("a").alias("fp"), F.lit(0).alias("t"), "key", "n"), radius))
-    second = verified(by_fp(links), nodes, docs, id_col, text_col)
-    whole = connected_components(first.union(second)).withColumnRenamed("component", "component_id")
-    named = save(nodes.join(whole, "node", "left").select("fp", "sh", F.coalesce("component_id", "node").alias("component_id")), "named")
-    return rows.where("id is not null").join(named, ["fp", "sh"]).select(F.col("id").alias("doc_id"), "component_id")
+def _shared(cols, starts):
+    """Of rows (token, node, n, rest) those whose token another set has too, and how many sets have it."""
+    token, node = cols[:2]
+    once = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))[: len(token)]  # a repeated id gives its rows twice
+    sizes = np.add.reduceat(once.astype(np.int32), starts[:-1]) if len(starts) > 1 else np.empty(0, np.int32)
+    sizes = np.repeat(sizes, np.diff(starts)).astype(np.int32)
+    kept = once & (sizes > 1)
+    return pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (*cols, sizes)], names=["token", "node", "n", "rest", "m"])
+
+
+def _partners(low: int, high: int | None):
+    """From runs of rows (token, i, j, node, n, rest, part): pairs (a, b) of nodes of different parts that may be as
+    similar as SIMILARITY. Of the partners before it in the run, each node has those from the low-th to the high-th."""
+
+    def take(cols, starts):
+        _, _, _, node, n, rest, part = cols
+        n, rest = n.astype(np.int64), rest.astype(np.int64)
+        a, b = [], []
+        for r in np.flatnonzero(np.diff(starts) > low + 1 if low else np.diff(starts) > 1).tolist():
+            lo, hi = int(starts[r]), int(starts[r + 1])
+            parts = part[lo:hi]
+            if (parts == parts[0]).all():
+                continue
+            for k in range(lo + low + 1, hi):
+                # If this is the first shingle that both have, they have no more in common than what follows it.
+                may = np.flatnonzero(9 * np.minimum(rest[k], rest[lo:k]) >= 4 * (n[k] + n[lo:k]))[low:high] + lo
+                may = may[part[may] != part[k]]
+                if len(may):
+                    a.append(node[may]), b.append(np.full(len(may), node[k]))
+        cols = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["a", "b"])
+
+    return _runs(3, take)
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 7) -> DataFrame:
+def _some(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose sets (node, hashes) have a similarity of SIMILARITY or more."""
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"s{c}"))
+
+    def run(batches):
+        for batch in batches:
+            a, b, sa, sb = (c.to_pylist() for c in batch.columns)
+            kept = [i for i in range(len(a)) if similarity(np.frombuffer(sa[i], np.uint64), np.frombuffer(sb[i], np.uint64)) >= SIMILARITY]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in kept], pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    return save(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "verified")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id of every row with an id: documents linked, directly or over others, by a Jaccard
+    similarity of SIMILARITY or more of their SIMILAR_WORDS-word shingles. No link is missed.
+
+    Documents with equal shingle sets are one node. Two sets of size n and more share one of the first
+    n - ceil(0.8 n) + 1 shingles of each, in any order that is the same for all; here frequent shingles, as far as
+    tasks have counted them, come last. So nodes that share such a shingle are candidates, but for those whose sizes
+    and places of the shingle rule the similarity out; the rest is compared exactly. Each node is first compared with
+    one partner of a run of equal shingles, then with more, then with all; a pair that earlier ones have joined, over
+    whatever others, is not compared. Null and empty texts are one group.
+    """
+    spark = docs.sparkSession
+    rows = save(shingle_sets(docs, id_col, text_col), "shingle-sets")
+    often = rows.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    tokens, n = (often.column(c).to_numpy() for c in ("token", "n"))
+    order = np.argsort(tokens.view(np.uint64))
+    common = spark.sparkContext.broadcast((tokens.view(np.uint64)[order], np.log2(n[order]).astype(np.uint8)))
+    rows = rows.where("id is not null").select("id", "node")
+    nodes = save(rows.groupBy("node").agg(F.min("id").alias("id")), "nodes")
+    texts = lambda ids: docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).join(_some(ids.select(F.col("id").alias("__id"))), F.col("id") == F.col("__id"), "left_semi")
+    prefixes = texts(nodes).mapInArrow(_prefixes(common), "token long, node long, n int, rest int")
+    shared = prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_runs(1, _shared), "token long, node long, n int, rest int, m int")
+    shared = save(shared, "shared")
+    used = nodes.join(shared.select("node").distinct(), "node", "left_semi")
+
+    def whole(batches):
+        for _, sets in _texts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
+
+    sets = save(texts(used).mapInArrow(whole, "node long, hashes binary").dropDuplicates(["node"]), "sets")
+    blocks = F.when(F.col("m") > RUN_ROWS, F.ceil(F.col("m") * 2 / RUN_ROWS)).otherwise(1).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = shared.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "rest")
+    longest = shared.agg(F.max("m")).first()[0] or 0
+    links = tried = parts = None
+    for low, high in zip((0, *WINDOWS), (*WINDOWS, None)):
+        if longest <= low + 1 and low:
+            break
+        placed = dealt.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")) if parts else dealt.withColumn("part", F.col("node"))
+        placed = placed.select("token", "i", "j", "node", "n", "rest", "part").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
+        pairs = placed.mapInArrow(_partners(low, high), "a long, b long").distinct()
+        pairs = save(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
+        tried = tried.union(pairs) if tried else pairs
+        found = verified(pairs, sets)
+        links = links.union(found) if links else found
+        parts = save(connected_components(links).select("node", F.col("component").alias("part")), "similar-parts")
+    drop(sets)
+    placed = save(nodes.join(parts, "node", "left").select("node", "id", F.coalesce("part", "node").alias("part")), "placed")
+    named = save(placed.join(placed.groupBy("part").agg(F.min("id").alias("component_id")), "part").select("node", "component_id"), "named")
+    return rows.join(named, "node").select(F.col("id").alias("doc_id"), "component_id")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each of similar_groups: the one with the smallest id, a repeated row once.
 
     Rows with a null id belong to no group and stay. Rows of one id with different texts stay or go together, as
     the one of them that stays says.
     """
-    groups = similar_groups(docs, id_col, text_col, radius)
+    groups = similar_groups(docs, id_col, text_col)
     ids = save(groups.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("keep"), F.count("*").alias("n")), "kept")
     same = F.col(id_col) == F.col("__id")
     out = docs.join(_some(ids.where("not keep").select("__id")), same, "left_anti")
