@@ -500,6 +500,19 @@ def test_dense_families_lose_no_link(spark):
     assert dict(rows(simhash.similar_groups(docs_frame(spark, texts)))) == want
 
 
+def test_equal_words_in_another_order_are_compared(spark):
+    """The text with the smallest id is unlike the others of the same words, which are like each other."""
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(80)]
+    mixed = rng.sample(words, 80)
+    swapped = mixed[:78] + mixed[:77:-1]
+    far = mixed[:70] + [f"other{i}" for i in range(4)] + mixed[70:]
+    texts = [(1, " ".join(words)), (2, " ".join(mixed)), (3, " ".join(swapped)), (4, " ".join(far))]
+    want = groups_by_brute_force(texts)
+    assert want == {1: 1, 2: 2, 3: 2, 4: 2}
+    assert dict(rows(simhash.similar_groups(docs_frame(spark, texts)))) == want
+
+
 # -- URLs -------------------------------------------------------------------------------------------------------------
 
 
