@@ -513,6 +513,16 @@ def test_equal_words_in_another_order_are_compared(spark):
     assert dict(rows(simhash.similar_groups(docs_frame(spark, texts)))) == want
 
 
+def test_added_passages_and_short_texts_are_found(spark):
+    rng, texts = random.Random(8), []
+    for n, more in [(100, 20), (200, 40), (60, 10), (20, 2), (9, 1)] * 6:
+        base = [f"word{rng.randrange(10**6)}" for _ in range(n)]
+        texts += [(len(texts), " ".join(base)), (len(texts) + 1, " ".join(base + [f"new{rng.randrange(10**6)}" for _ in range(more)]))]
+    want = groups_by_brute_force(texts)
+    assert all(want[i] == i - i % 2 for i in want)
+    assert dict(rows(simhash.similar_groups(docs_frame(spark, texts)))) == want
+
+
 # -- URLs -------------------------------------------------------------------------------------------------------------
 
 
