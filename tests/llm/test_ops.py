@@ -144,6 +144,13 @@ def test_licenses(spark):
     assert licenses.scan(docs_frame(spark, []), "doc_id").collect() == []
 
 
+def test_adjoining_notices_are_all_found():
+    spans = lambda text: sorted(x[1:4] for x in licenses.Scanner().fuzzy(text.encode().split()) if x[0] == "mit")
+    worse, best = "released undr the mit license", "released under the mit license"
+    assert [x[2] for x in spans(f"{worse} {best}")] == [1, 0]
+    assert [x[2] for x in spans(f"{worse} {best} {worse} {best} {worse}")] == [1, 0, 1, 0, 1]
+
+
 def test_pigeonhole_finds_all_within_the_bound():
     rng, scanner = random.Random(5), licenses.Scanner()
     for label, phrase in licenses.NOTICES:

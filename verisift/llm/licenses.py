@@ -90,8 +90,13 @@ class Scanner:
         for i, own in windows.items():
             label, length, _, pattern = self.notices[i]
             for start, stop in own:
-                for m in pattern.finditer(text, start, min(stop, len(text))):
-                    out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), length))
+                left = [(start, min(stop, len(text)))]
+                while left:  # the best match may lie behind others: both sides of it are searched again
+                    start, stop = left.pop()
+                    m = pattern.search(text, start, stop)
+                    if m:
+                        out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), length))
+                        left += [(start, m.start()), (m.end(), stop)]
         return out
 
     def scan(self, text: bytes | None) -> dict:
