@@ -369,30 +369,6 @@ def brute_components(ids, fps, radius):
     return root
 
 
-@pytest.mark.parametrize("radius, pairs", [(3, 1 << 32), (6, 1 << 32), (6, 4)])
-def test_wider_parts_lose_no_pair(spark, monkeypatch, radius, pairs):
-    monkeypatch.setattr(simhash, "RUN_PAIRS", pairs)
-    monkeypatch.setattr(simhash, "BUCKET", 8)
-    if pairs == 4:  # workers import the module afresh
-        monkeypatch.setattr(simhash, "_cross_links", lambda radius, f=simhash._cross_links: _with_pairs(f, radius, pairs))
-    rng, fps = random.Random(radius), []
-    for _ in range(10):
-        centre = rng.getrandbits(64)
-        fps += [centre ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(7))) for _ in range(15)]
-    signed = sorted({simhash._signed(f) for f in fps})
-    got = dict(rows(simhash.fingerprint_parts(spark.createDataFrame([(f,) for f in signed], "fp long"), radius)))
-    want = brute_components(signed, [f & (1 << 64) - 1 for f in signed], radius)
-    assert all(got.get(f, f) == want[f] for f in signed)
-
-
-def _with_pairs(make, radius, pairs):
-    def run(batches):
-        simhash.RUN_PAIRS = pairs
-        yield from make(radius)(batches)
-
-    return run
-
-
 @pytest.mark.parametrize("radius, bucket", [(2, 4_096), (2, 4), (4, 4_096), (4, 4)])
 def test_links_lose_no_pair(spark, monkeypatch, radius, bucket):
     monkeypatch.setattr(simhash, "BUCKET", bucket)
@@ -439,7 +415,7 @@ def test_near_groups(spark):
     assert by_id[None][1] == by_id[1][1] and by_id[None][2] is None
     kept = simhash.without_near_copies(docs_frame(spark, texts))
     assert kept.columns == DOCS.replace(" string", "").replace(" long", "").split(", ")
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "4", "7", "9", "10", "None"])
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "4", "7", "9", "10"])
     assert rows(simhash.near_groups(docs_frame(spark, []))) == []
 
 
@@ -464,6 +440,7 @@ def test_similar_groups(spark, monkeypatch, run_rows):
     got = {}
     for i, c in rows(simhash.similar_groups(docs_frame(spark, texts))):
         got.setdefault(i, set()).add(c)
+    assert got.pop(None) == got[0]
     assert all(len(c) == 1 for c in got.values())
     got = {i: c.pop() for i, c in got.items()}
     ids = sorted(i for i in got)
@@ -507,6 +484,15 @@ def test_dense_families_lose_no_link(spark):
     assert dict(rows(simhash.similar_groups(docs_frame(spark, texts)))) == want
 
 
+def test_rows_without_an_id_are_compared(spark):
+    """A row key decides, not the id alone: copies go, with or without an id, and repeated rows count once."""
+    base, other = " ".join(f"word{i}" for i in range(50)), " ".join(f"else{i}" for i in range(50))
+    texts = [(None, base), (5, base), (None, other), (None, other), (None, other + " more"), (7, "alone"), (7, "alone"), (7, base + " more"), (8, None), (None, "")]
+    kept = rows(simhash.without_near_copies(docs_frame(spark, texts)).select("doc_id", "text"))
+    assert len(kept) == 4 and {(5, base), (7, "alone"), (8, None)} < set(kept)
+    assert [t for i, t in kept if i is None][0] in (other, other + " more")
+
+
 def test_equal_words_in_another_order_are_compared(spark):
     """The text with the smallest id is unlike the others of the same words, which are like each other."""
     rng = random.Random(5)

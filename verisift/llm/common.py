@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,12 +19,15 @@ RUN = uuid.uuid4().hex
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one is made if driver and
+    executors are one process (master local); elsewhere there is no folder that all can see, and that is an error."""
     sc, key = spark.sparkContext, "spark.checkpoint.dir"
     found = spark.conf.get(key, None) or sc.getConf().get(key)
     if not found and sc._jsc.sc().getCheckpointDir().isDefined():
         found = sc._jsc.sc().getCheckpointDir().get()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='verisift-')}"
         sc.setCheckpointDir(found)
     return found.rstrip("/")

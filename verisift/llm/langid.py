@@ -214,16 +214,23 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, unchanged, whose text has a language: those that identify() calls ``und`` go."""
+def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of docs whose text has a language, with the prediction of identify() in lang_col. Rows that it calls
+    ``und`` go, and with languages also those of any other language.
+
+    Null and empty texts go, as they have no letter. A null label is filled and a wrong one replaced; a null id
+    changes nothing. Repeated rows stay as often as they came. If nothing could be learned, no text has a language.
+    All columns are returned, whatever their names; an empty table gives an empty result.
+    """
     bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(vars(Model(sample(docs, id_col, text_col, lang_col))))
-    at = docs.columns.index(text_col)
+    at, into = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches):
         own = Model.of(model.value)
         for batch in batches:
             langs = [x for x, _ in own.predict(batch.column(at).to_pylist())]
-            yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+            kept = pa.array([x != UNKNOWN and (languages is None or x in languages) for x in langs], pa.bool_())
+            yield batch.set_column(into, batch.schema.field(into), pa.array(langs, batch.schema.field(into).type)).filter(kept)
 
     return docs.mapInArrow(run, docs.schema)

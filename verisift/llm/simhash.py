@@ -17,8 +17,6 @@ SHINGLE_WORDS = 3
 RADIUS = 2
 #: Buckets of up to so many distinct fingerprints are compared inside one task; larger ones are dealt out further.
 BUCKET = 4_096
-#: Comparisons that one bucket of a wider covering may take in one task.
-RUN_PAIRS = 1 << 32
 
 
 def _bits_over_half(hashes: list[int]) -> int:
@@ -167,88 +165,9 @@ def _by_blocks(large: DataFrame, radius: int) -> DataFrame:
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_bucket_links(radius), "a long, b long")
 
 
-def _cross_links(radius: int):
-    """From rows (fp, part, key) sorted by key: pairs (a, b) of parts that have fingerprints within the radius of
-    each other. Runs that would take a task too long come back whole, as (fp, part, key)."""
-    shape = [("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())]
-
-    def pairs(fps, parts):
-        names, where, sizes = np.unique(parts, return_inverse=True, return_counts=True)
-        minor = np.flatnonzero(where != int(np.argmax(sizes)))
-        if len(minor) * len(fps) > RUN_PAIRS:
-            return None
-        found = set()
-        for i in minor.tolist():
-            near = np.unique(where[np.bitwise_count(fps ^ fps[i]) <= radius])
-            found.update((min(where[i], j), max(where[i], j)) for j in near.tolist() if j != where[i])
-        return [(int(names[i]), int(names[j])) for i, j in found]
-
-    def out(rows):
-        cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in rows[:2]]
-        key = pa.array(rows[2], pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), key], schema=pa.schema(shape))
-
-    def links(fps, parts, keys, final):
-        starts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
-        stop = len(starts) - 1 if final else len(starts) - 2
-        rows: tuple = ([], [], [])
-        # Runs with more than one part: the smallest and the largest differ.
-        ends = starts[: stop + 1]
-        if stop:
-            cut = slice(0, int(ends[-1]))
-            mixed = np.minimum.reduceat(parts[cut], ends[:-1]) != np.maximum.reduceat(parts[cut], ends[:-1])
-            for r in np.flatnonzero(mixed).tolist():
-                lo, hi = int(ends[r]), int(ends[r + 1])
-                found = pairs(fps[lo:hi].view(np.uint64), parts[lo:hi])
-                if found is None:
-                    rows[0].append(fps[lo:hi]), rows[1].append(parts[lo:hi])
-                    rows[2].extend([int(keys[lo])] * (hi - lo))
-                elif found:
-                    both = np.array(found, dtype=np.int64)
-                    rows[0].append(both[:, 0]), rows[1].append(both[:, 1])
-                    rows[2].extend([None] * len(found))
-        at = int(starts[stop])
-        return out(rows), (fps[at:], parts[at:], keys[at:])
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if len(cols[0]):
-                found, held = links(*([np.concatenate(x) for x in zip(held, cols)] if held else cols), False)
-                yield found
-        if held:
-            yield links(*held, True)[0]
-
-    return run
-
-
 def fingerprint_parts(points: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fp, part of the distinct fingerprints (points: fp) that have a link: the connected parts.
-
-    A radius over 2 is done in two steps. Links within 2 give parts first, cheaply. Then the wider covering deals
-    (fingerprint, part) rows into its buckets in one shuffle, and only fingerprints of different parts are compared,
-    those outside of a bucket's largest part with all others. So a dense group of near copies costs little in each
-    of the many tables, and links are between parts, of which there are few.
-    """
-    parts = connected_components(hamming_links(points, min(radius, RADIUS))).select(F.col("node").alias("fp"), F.col("component").alias("part"))
-    if radius <= RADIUS:
-        return parts
-    all_ = save(points.select("fp").join(parts, "fp", "left").select("fp", F.coalesce("part", "fp").alias("part")), "first-parts")
-    masks = covering_masks(radius)
-    key = F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)]))
-    dealt = all_.select("fp", "part", key.alias("key")).repartition("key").sortWithinPartitions("key")
-    found = save(dealt.mapInArrow(_cross_links(radius), "a long, b long, key long"), "cross-links")
-    links = found.where("key is null").select("a", "b")
-    large = found.where("key is not null")
-    if not large.isEmpty():  # a third way that no bucket is too large for
-        sized = large.join(save(large.groupBy("key").agg(F.count("*").alias("n")), "sizes"), "key")
-        pairs = _by_blocks(sized.select(F.col("a").alias("fp"), F.lit(0).alias("t"), "key", "n"), radius)
-        of = lambda c: all_.select(F.col("fp").alias(c), F.col("part").alias(f"p{c}"))
-        links = links.union(pairs.join(of("a"), "a").join(of("b"), "b").select("pa", "pb"))
-    wider = connected_components(links.distinct()).select(F.col("node").alias("part"), F.col("component").alias("whole"))
-    joined = all_.join(wider, "part", "left").select("fp", F.coalesce("whole", "part").alias("part"))
-    return joined.where("part <> fp").union(joined.where("part <> fp").select(F.col("part").alias("fp"), "part").distinct())
+    """fp, part of the distinct fingerprints (points: fp) that have a link: the connected parts."""
+    return connected_components(hamming_links(points, radius)).select(F.col("node").alias("fp"), F.col("component").alias("part"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, fingerprint=shingle_fingerprint) -> DataFrame:
@@ -282,6 +201,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- near copies by similarity ----------------------------------------------------------------------------------------
 
 SIMILARITY, SIMILAR_WORDS = 0.8, 5
+#: Radius of the covering over fingerprints of SIMILAR_WORDS-word shingles.
+NEAR_RADIUS = 3
 #: Up to so many ids are broadcast; more are joined by a shuffle of the texts.
 BROADCAST_IDS = 1_000_000
 #: Shingles that a task counts at a time, and frequent ones that are known to all tasks. They set the order of
@@ -289,8 +210,11 @@ BROADCAST_IDS = 1_000_000
 COUNT_ROWS, COMMON = 1 << 22, 1 << 19
 #: Texts with a shingle in common are compared in one task up to so many; more are dealt out by pairs of blocks.
 RUN_ROWS = 4_096
-#: Each text's first so many partners of a run are verified first, as parts that these join need no more comparisons.
-WINDOWS = (1, 8, 64)
+#: Partners of each text in a run that are verified in the first rounds, each time others: parts that these join need
+#: no more comparisons. The last round has all that are left.
+FIRST_PARTNERS = (2, 8, 32)
+#: Bits of a sketch.
+SKETCH = 128
 
 
 def shingle_set(text: bytes | None, k: int = SIMILAR_WORDS) -> np.ndarray:
@@ -308,35 +232,47 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH bits, each the parity of the number of elements that fall on it. Elements that two sets share cancel
+    out, so that sketches differ in no more bits than the sets in elements."""
+    odd = np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def _set_name(hashes: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(hashes.tobytes()))
 
 
-def _texts(batches, rows: int = 512):
-    """Ids and shingle sets of batches of (id, text)."""
+def _texts(batches, column: int = 1, rows: int = 512):
+    """Slices of batches and the shingle sets of the texts in a column."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
-            yield part.column(0).cast(pa.int64()), [shingle_set(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
+            yield part, [shingle_set(t) for t in part.column(column).cast(pa.binary()).to_pylist()]
+
+
+_SETS = "id long, hash long, node long, fp long, n int, s0 long, s1 long, token long, m long"
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, node (hash of the shingle set) of each row; and rows with token and n, shingles that n of the different
-    sets of a task hold, if more than one."""
-    names = ["id", "node", "token", "n"]
+    """id, hash (of the text), node (hash of the shingle set), its fingerprint fp, size n and sketch s0, s1 of each
+    row; and rows with token and m, shingles that m of the different sets of a task hold, if more than one."""
+    schema = pa.schema([(x.split()[0], pa.int32() if x.endswith("int") else pa.int64()) for x in _SETS.split(", ")])
 
     def counted(held):
-        found, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
-        found, n = found[n > 1].view(np.int64), n[n > 1]
-        none = pa.nulls(len(n), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.array(found), pa.array(n.astype(np.int64))], names=names)
+        found, m = np.unique(np.concatenate(list(held.values())), return_counts=True)
+        found, m = found[m > 1].view(np.int64), m[m > 1].astype(np.int64)
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(m), t) for t in schema.types[:-2]), pa.array(found), pa.array(m)], schema=schema)
 
     def run(batches):
         held, size = {}, 0
-        for ids, sets in _texts(batches):
+        for part, sets in _texts(batches, 2):
             nodes = [_set_name(s) for s in sets]
+            sketches = np.array([sketch(s) for s in sets], dtype=np.int64).reshape(-1, 2)
+            fps = np.array([_bits_over_half(s) for s in sets], dtype=np.uint64).view(np.int64)
             none = pa.nulls(len(nodes), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), none, none], names=names)
+            cols = [part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(fps), pa.array([len(s) for s in sets], pa.int32()), pa.array(sketches[:, 0]), pa.array(sketches[:, 1]), none, none]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
             for node, s in zip(nodes, sets):
                 if node not in held:
                     held[node] = s
@@ -348,11 +284,11 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield counted(held)
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, node long, token long, n long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col)).mapInArrow(run, _SETS)
 
 
 def _prefixes(common):
-    """From rows (id, text): the first shingles of each set, rarest first, so many that two sets of the similarity
+    """From rows (node, text): the first shingles of each set, rarest first, so many that two sets of the similarity
     share one at least. rest: size of the set from that shingle on."""
 
     def run(batches):
@@ -366,10 +302,10 @@ def _prefixes(common):
                 at = np.minimum(np.searchsorted(tokens, s), max(len(tokens) - 1, 0))
                 often = np.where(tokens[at] == s, classes[at], 0) if len(tokens) else np.zeros(n, np.uint8)
                 first = s[np.argsort(often, kind="stable")[: n - (4 * n + 4) // 5 + 1]]
-                out.append((first.view(np.int64), np.full(len(first), _set_name(s)), np.full(len(first), n), n - np.arange(len(first))))
+                out.append((first.view(np.int64), np.full(len(first), _set_name(s)), n - np.arange(len(first))))
             if out:
                 cols = [np.concatenate(c) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int64)), *(pa.array(c.astype(np.int32)) for c in cols[2:])], names=["token", "node", "n", "rest"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.int32))], names=["token", "node", "rest"])
 
     return run
 
@@ -398,34 +334,43 @@ def _runs(keys: int, take):
 
 
 def _shared(cols, starts):
-    """Of rows (token, node, n, rest) those whose token another set has too, and how many sets have it."""
+    """Of rows (token, node, rest) those whose token another set has too, and how many sets have it."""
     token, node = cols[:2]
     once = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))[: len(token)]  # a repeated id gives its rows twice
     sizes = np.add.reduceat(once.astype(np.int32), starts[:-1]) if len(starts) > 1 else np.empty(0, np.int32)
     sizes = np.repeat(sizes, np.diff(starts)).astype(np.int32)
     kept = once & (sizes > 1)
-    return pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (*cols, sizes)], names=["token", "node", "n", "rest", "m"])
+    return pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (*cols, sizes)], names=["token", "node", "rest", "m"])
 
 
-def _partners(low: int, high: int | None):
-    """From runs of rows (token, i, j, node, n, rest, part): pairs (a, b) of nodes of different parts that may be as
-    similar as SIMILARITY. Of the partners before it in the run, each node has those from the low-th to the high-th."""
+def _partners(most: int | None, turn: int):
+    """From runs of rows (token, i, j, node, rest, n, s0, s1, part): pairs (a, b) of nodes of different parts that may
+    be as similar as SIMILARITY. With most, each node has so many partners at most, others in another turn."""
 
     def take(cols, starts):
-        _, _, _, node, n, rest, part = cols
-        n, rest = n.astype(np.int64), rest.astype(np.int64)
+        node, rest, n, s0, s1, part = cols[3:]
+        n, rest, s0, s1 = n.astype(np.int64), rest.astype(np.int64), s0.view(np.uint64), s1.view(np.uint64)
         a, b = [], []
-        for r in np.flatnonzero(np.diff(starts) > low + 1 if low else np.diff(starts) > 1).tolist():
+        for r in np.flatnonzero(np.diff(starts) > 1).tolist():
             lo, hi = int(starts[r]), int(starts[r + 1])
-            parts = part[lo:hi]
-            if (parts == parts[0]).all():
+            own = part[lo:hi]
+            if (own == own[0]).all():
                 continue
-            for k in range(lo + low + 1, hi):
-                # If this is the first shingle that both have, they have no more in common than what follows it.
-                may = np.flatnonzero(9 * np.minimum(rest[k], rest[lo:k]) >= 4 * (n[k] + n[lo:k]))[low:high] + lo
-                may = may[part[may] != part[k]]
-                if len(may):
-                    a.append(node[may]), b.append(np.full(len(may), node[k]))
+            names, where, sizes = np.unique(own, return_inverse=True, return_counts=True)
+            large = where == int(np.argmax(sizes))  # nodes of the largest part are only compared with others
+            for k in np.flatnonzero(~large).tolist():
+                x = lo + k
+                may = own != own[k]
+                may[k:] &= large[k:]
+                # Half of the sizes less the differing bits bounds what two sets share; so does what follows the first shingle that both have.
+                may &= 9 * (np.bitwise_count(s0[lo:hi] ^ s0[x]).astype(np.int64) + np.bitwise_count(s1[lo:hi] ^ s1[x])) <= n[lo:hi] + n[x]
+                may &= 9 * np.minimum(rest[lo:hi], rest[x]) >= 4 * (n[lo:hi] + n[x])
+                found = np.flatnonzero(may)
+                if most is not None and len(found) > most:
+                    found = np.roll(found, -(int(node[x]) * (2 * turn + 1) % len(found)))[:most]
+                found += lo
+                if len(found):
+                    a.append(np.minimum(node[found], node[x])), b.append(np.maximum(node[found], node[x]))
         cols = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b)]
         return pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["a", "b"])
 
@@ -437,7 +382,10 @@ def _some(ids: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes whose sets (node, hashes) have a similarity of SIMILARITY or more."""
+    """Pairs (a, b) of nodes whose sets (node, hashes) have a similarity of SIMILARITY or more. Only sets that a pair
+    names are shuffled."""
+    named = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named-sets")
+    sets = sets.join(_some(named), "node", "left_semi")
     of = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"s{c}"))
 
     def run(batches):
@@ -449,71 +397,98 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return save(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "verified")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id of every row with an id: documents linked, directly or over others, by a Jaccard
-    similarity of SIMILARITY or more of their SIMILAR_WORDS-word shingles. No link is missed.
-
-    Documents with equal shingle sets are one node. Two sets of size n and more share one of the first
-    n - ceil(0.8 n) + 1 shingles of each, in any order that is the same for all; here frequent shingles, as far as
-    tasks have counted them, come last. So nodes that share such a shingle are candidates, but for those whose sizes
-    and places of the shingle rule the similarity out; the rest is compared exactly. Each node is first compared with
-    one partner of a run of equal shingles, then with more, then with all; a pair that earlier ones have joined, over
-    whatever others, is not compared. Null and empty texts are one group.
-    """
+def _covered(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are equal or linked by the covering."""
+    points = save(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("node")), "covered")
+    same = nodes.where("n > 0").select("fp", F.col("node").alias("b")).join(points.select("fp", F.col("node").alias("a")), "fp").where("a < b").select("a", "b")
+    of = lambda c, node: points.select(F.col("fp").alias(c), F.col("node").alias(node))
+    linked = hamming_links(points.select("fp"), NEAR_RADIUS).join(of("a", "x"), "a").join(of("b", "y"), "b")
+    return same.union(linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, hash and first of every row: first is the (no_id, id, hash) that comes first in the row's group."""
     spark = docs.sparkSession
     rows = save(shingle_sets(docs, id_col, text_col), "shingle-sets")
-    often = rows.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
-    tokens, n = (often.column(c).to_numpy() for c in ("token", "n"))
+    often = rows.where("token is not null").groupBy("token").agg(F.sum("m").alias("m")).orderBy(F.desc("m"), "token").limit(COMMON).toArrow()
+    tokens, m = (often.column(c).to_numpy() for c in ("token", "m"))
     order = np.argsort(tokens.view(np.uint64))
-    common = spark.sparkContext.broadcast((tokens.view(np.uint64)[order], np.log2(n[order]).astype(np.uint8)))
-    rows = rows.where("id is not null").select("id", "node")
-    nodes = save(rows.groupBy("node").agg(F.min("id").alias("id")), "nodes")
-    texts = lambda ids: docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).join(_some(ids.select(F.col("id").alias("__id"))), F.col("id") == F.col("__id"), "left_semi")
-    prefixes = texts(nodes).mapInArrow(_prefixes(common), "token long, node long, n int, rest int")
-    shared = prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_runs(1, _shared), "token long, node long, n int, rest int, m int")
-    shared = save(shared, "shared")
-    used = nodes.join(shared.select("node").distinct(), "node", "left_semi")
+    common = spark.sparkContext.broadcast((tokens.view(np.uint64)[order], np.log2(m[order]).astype(np.uint8)))
+    rows = rows.where("token is null")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash"))
+    nodes = save(rows.groupBy("node").agg(first.alias("first"), *(F.min(c).alias(c) for c in ("fp", "n", "s0", "s1"))), "nodes")
+
+    def texts(which):
+        """node and a text of each of the nodes. Of the rows with a node's id and hash of the text, any will do."""
+        key = which.select("node", F.col("first.id").alias("__id"), F.col("first.hash").alias("__hash"))
+        found = docs.select(F.col(id_col).cast("long").alias("__i"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("__text"))
+        return found.join(_some(key), (F.col("__i").eqNullSafe(F.col("__id"))) & (found["__hash"] == key["__hash"])).select("node", "__text")
 
     def whole(batches):
-        for _, sets in _texts(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
+        for part, sets in _texts(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
 
-    sets = save(texts(used).mapInArrow(whole, "node long, hashes binary").dropDuplicates(["node"]), "sets")
+    prefixes = texts(nodes).mapInArrow(_prefixes(common), "token long, node long, rest int")
+    shared = prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_runs(1, _shared), "token long, node long, rest int, m int")
+    shared = save(shared, "shared")
+    covered = save(_covered(nodes), "pairs")
+    used = shared.select("node").union(covered.select("a")).union(covered.select("b")).distinct()
+    sets = save(texts(nodes.join(used, "node", "left_semi")).mapInArrow(whole, "node long, hashes binary").dropDuplicates(["node"]), "sets")
     blocks = F.when(F.col("m") > RUN_ROWS, F.ceil(F.col("m") * 2 / RUN_ROWS)).otherwise(1).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = shared.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "rest")
-    longest = shared.agg(F.max("m")).first()[0] or 0
-    links = tried = parts = None
-    for low, high in zip((0, *WINDOWS), (*WINDOWS, None)):
-        if longest <= low + 1 and low:
-            break
-        placed = dealt.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")) if parts else dealt.withColumn("part", F.col("node"))
-        placed = placed.select("token", "i", "j", "node", "n", "rest", "part").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
-        pairs = placed.mapInArrow(_partners(low, high), "a long, b long").distinct()
-        pairs = save(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "rest")
+
+    pairs, tried, links = covered, None, None
+    for turn, most in enumerate((*FIRST_PARTNERS, None, 0)):
         tried = tried.union(pairs) if tried else pairs
         found = verified(pairs, sets)
         links = links.union(found) if links else found
-        parts = save(connected_components(links).select("node", F.col("component").alias("part")), "similar-parts")
+        parts = connected_components(links).select("node", F.col("component").alias("part"))
+        placed = save(nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "placed")
+        if most == 0:
+            break
+        runs = dealt.join(placed.select("node", "n", "s0", "s1", "part"), "node").select("token", "i", "j", "node", "rest", "n", "s0", "s1", "part")
+        runs = runs.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
+        pairs = runs.mapInArrow(_partners(most, turn), "a long, b long").distinct()
+        pairs = save(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     drop(sets)
-    placed = save(nodes.join(parts, "node", "left").select("node", "id", F.coalesce("part", "node").alias("part")), "placed")
-    named = save(placed.join(placed.groupBy("part").agg(F.min("id").alias("component_id")), "part").select("node", "component_id"), "named")
-    return rows.join(named, "node").select(F.col("id").alias("doc_id"), "component_id")
+    named = save(placed.join(placed.groupBy("part").agg(F.min("first").alias("of_part")), "part").select("node", "of_part"), "named")
+    return rows.join(named, "node").select("id", "hash", F.col("of_part").alias("first"))
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each of similar_groups: the one with the smallest id, a repeated row once.
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id of every row: documents linked, directly or over others, by a Jaccard similarity of
+    SIMILARITY or more of their SIMILAR_WORDS-word shingles. No link is missed. component_id is the smallest id of
+    the group (null if it has none); null ids are compared like others.
+
+    Documents with equal shingle sets are one node. The covering links nodes whose fingerprints differ in NEAR_RADIUS
+    bits or fewer, and these links are verified exactly. Fingerprints of sets with a similarity of 0.8 differ in about
+    10 bits, more than any covering with a bearable number of tables can reach, so that a second search makes the
+    result whole: two sets of size n and more share one of the first n - ceil(0.8 n) + 1 shingles of each, in any
+    order that is the same for all; here frequent shingles, as far as tasks have counted them, come last. Nodes that
+    share such a shingle are compared exactly, but for those whose sizes, sketches or places of the shingle rule the
+    similarity out and those that earlier links have joined, over whatever others. Each node is first compared with a
+    few partners of a run of equal shingles, then with all that are left.
+
+    Null and empty texts are one group. Other columns are ignored; an empty table gives an empty result.
+    """
+    return _groups(docs, id_col, text_col).select(F.col("id").alias("doc_id"), F.col("first.id").alias("component_id"))
 
-    Rows with a null id belong to no group and stay. Rows of one id with different texts stay or go together, as
-    the one of them that stays says.
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each of similar_groups: the one with the smallest id (null ids come last, then the
+    smaller hash of the text decides), a repeated row once. Rows of one id with different texts are rows of their own.
     """
-    groups = similar_groups(docs, id_col, text_col)
-    ids = save(groups.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("keep"), F.count("*").alias("n")), "kept")
-    same = F.col(id_col) == F.col("__id")
-    out = docs.join(_some(ids.where("not keep").select("__id")), same, "left_anti")
-    again = ids.where("keep and n > 1").select("__id")
+    rows = _groups(docs, id_col, text_col)
+    kinds = rows.groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash")).agg(F.min("first").alias("first"), F.count("*").alias("n"))
+    stays = F.col("first.id").eqNullSafe(F.col("__id")) & (F.col("first.hash") == F.col("__hash"))
+    kinds = save(kinds.select("__id", "__hash", stays.alias("keep"), "n").where("not keep or n > 1"), "kinds")
+    same = lambda k: F.col(id_col).cast("long").eqNullSafe(k["__id"]) & (F.xxhash64(text_col) == k["__hash"])
+    gone, again = _some(kinds.where("not keep")), kinds.where("keep")
+    out = docs.join(gone, same(gone), "left_anti")
     if again.isEmpty():
         return out
     again = _some(again)
-    return out.join(again, same, "left_anti").union(out.join(again, same, "left_semi").dropDuplicates([id_col]))
+    once = out.withColumn("__key", F.xxhash64(text_col)).join(again, same(again), "left_semi").dropDuplicates([id_col, "__key"]).drop("__key")
+    return out.join(again, same(again), "left_anti").union(once)
