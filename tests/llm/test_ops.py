@@ -133,7 +133,7 @@ def plain_scan(text):
 
 def test_licenses(spark):
     texts = ["cc by cc BY", "CC-BY 4.0", "All rights reserved. all  rights\treserved", "the GNU General Public License", "", None, "éCC by", "Relaesed under the MIT License", "Released undr the MIT Licence here"]
-    texts += ["word " * 50_000 + "Licensed under the Apche License, Version 2.0", "nothing to see", "permits reserved rights all"]
+    texts += ["word " * 50_000 + "Licensed under teh Apache License, Version 2.0", "nothing to see", "permits reserved rights all"]
     got = {r.doc_id: r for r in licenses.scan(docs_frame(spark, enumerate(texts))).collect()}
     for i, t in enumerate(texts):
         r = got[i]
@@ -151,17 +151,47 @@ def test_adjoining_notices_are_all_found():
     assert [x[2] for x in spans(f"{worse} {best} {worse} {best} {worse}")] == [1, 0, 1, 0, 1]
 
 
+def spoiled(rng, notice):
+    """A notice with as many errors outside of its braces as are allowed."""
+    free = [m.start() + 1 for m in re.finditer(r"(?<![{a-z0-9])[a-z]{3,}(?![^{]*\})", notice)]  # no word vanishes, which would be an error more
+    k = max(1, (len(notice) - notice.count("{") * 2) // licenses.CHARS_PER_ERROR)
+    chars = list(notice)
+    for at in sorted(rng.sample(free, min(k, len(free))), reverse=True):
+        chars[at : at + rng.choice([0, 1])] = rng.choice(["", "q", "z"])
+    return "".join(chars).replace("{", "").replace("}", "")
+
+
 def test_pigeonhole_finds_all_within_the_bound():
     rng, scanner = random.Random(5), licenses.Scanner()
-    for label, phrase in licenses.NOTICES:
-        k = max(1, len(phrase) // licenses.CHARS_PER_ERROR)
+    for label, notice in licenses.NOTICES:
         for _ in range(20):
-            chars = list(phrase)
-            inner = [m.start() + 1 for m in re.finditer("[a-z]{3,}", phrase)]  # no word vanishes, which would be an error more
-            for at in sorted(rng.sample(inner, k), reverse=True):
-                chars[at : at + rng.choice([0, 1])] = rng.choice(["", "q", "z"])
-            found = scanner.fuzzy(("aa bb " + "".join(chars) + " cc dd").encode().split())
-            assert label in {x[0] for x in found}, "".join(chars)
+            text = spoiled(rng, notice)
+            assert label in {x[0] for x in scanner.fuzzy(("aa bb " + text + " cc dd").encode().split())}, text
+
+
+def test_spans_are_those_of_a_search_without_seeds():
+    rng, scanner = random.Random(15), licenses.Scanner()
+    for _ in range(30):
+        words = []
+        for _ in range(12):
+            words += (spoiled(rng, rng.choice(licenses.NOTICES)[1]) if rng.random() < 0.6 else rng.choice(["the license", "all rights", "apache mit bsd", "x y z"])).split()
+        text = " ".join(words)
+        plain = sorted((scanner.notices[i][0], *m.span()) for i in range(len(scanner.notices)) for m in scanner._matches(i, text, 0, len(text)))
+        assert sorted(x[:3] for x in scanner.fuzzy([w.encode() for w in words])) == plain, text
+
+
+@pytest.mark.parametrize("text", ["released under the mpl license", "Licensed under the Apache License, Version 1.1", "Mozilla Public License Version 1.1", "SPDX-License-Identifier: LGPL-3.0", "SPDX-License-Identifier: MIT-0", "SPDX-License-Identifier: MITNFA", "unreleased under the mit licenses of x"])
+def test_other_licenses_are_no_errors(text):
+    assert licenses.Scanner().scan(text.encode())["labels"] in ("", "mit" if text.startswith("unrel") else "")
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    scanner, began = licenses.Scanner(), time.perf_counter()
+    found = scanner.scan(b"cc by " * 80_000)
+    assert time.perf_counter() - began < 1.5 and (found["n_base"], found["first_word"], found["last_word"]) == (80_000, 0, 159_998)
+    assert len(scanner.scan(b"all rights reserved " * 20_000)["spans"]) == 20_000 and time.perf_counter() - began < 5
 
 
 # -- main text --------------------------------------------------------------------------------------------------------

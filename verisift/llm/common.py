@@ -79,8 +79,15 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+BATCH_BYTES = 8 << 20
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Lets Arrow batches hold so many rows at most, as texts can be long: the default of 10,000 suits numbers."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """Lets Arrow batches hold so many rows and BATCH_BYTES at most, as texts can be long: the defaults suit numbers.
+    Settings of the session that are smaller stay."""
+    key, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    known = re.fullmatch(r"(\d+)b?", spark.conf.get(size))
+    if not known or int(known[1]) > BATCH_BYTES:
+        spark.conf.set(size, f"{BATCH_BYTES}b")
