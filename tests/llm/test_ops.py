@@ -335,6 +335,28 @@ def test_round_robin_keeps_the_shares():
             assert abs(run[s] - shares[s] * (k + 1) * packing.WINDOW) <= 2 * packing.WINDOW * max(shares.values())
 
 
+@pytest.mark.parametrize("weights", [None, {"s0": 3.0, "s1": 2.0, "s2": 1.0}])
+def test_windows_keep_the_shares_over_all_bins(spark, weights):
+    rng = random.Random(14)
+    docs = [(i, "x" * rng.randrange(10, 1200)) for i in range(2400)]
+    source = {i: f"s{min(3, rng.randrange(6)) % 3}" for i, _ in docs}
+    pieces = packing.pack(docs_frame(spark, docs, source=source), weights=weights, bin_tokens=60_000, encoder=Letters).collect()
+    check_pieces(pieces, docs, Letters())
+    size = {s: sum(len(t) + 1 for i, t in docs if source[i] == s) for s in ("s0", "s1", "s2")}
+    share = {s: (weights[s] / 6 if weights else size[s] / sum(size.values())) for s in size}
+    sent, order = dict.fromkeys(size, 0), sorted(pieces, key=lambda r: (r.sequence_id, r.offset))
+    assert len({r.sequence_id >> 32 for r in pieces}) > 10
+    for last, r in zip([None, *order], order):
+        if last and last.sequence_id != r.sequence_id:
+            if any(sent[s] == size[s] for s in size):  # the mixture holds until a source is empty
+                break
+            done = sum(sent.values())
+            # A document and a turn of a window for each source.
+            assert all(abs(sent[s] - share[s] * done) <= 3 * packing.WINDOW for s in size), (sent, done)
+        sent[r.source] += r.length
+    assert sum(sent.values()) > 0.95 * min(size[s] / share[s] for s in size)
+
+
 def test_encoder_is_the_tokenizers_library():
     encode, rng = packing.Encoder(), random.Random(6)
     pieces = ["Hello ", "wörld", "  ", "\n\n", "\t", "don't", "12345", "é", "日本", "\u0301", "🙂", "...", "<|endoftext|>", "\x85", "\xa0", " x", "I'LL", "ſ", "½", "—", "\r\n"]
@@ -570,10 +592,21 @@ def test_urls(spark):
     got = sorted(map(str, rows(urlfilter.url_filter(df, urlfilter.rules_frame(spark, rules)))))
     assert got == sorted(str((i, *plain_verdict(u, plain))) for i, u in data)
     assert rows(urlfilter.url_filter(df.limit(0), urlfilter.rules_frame(spark))) == []
+    assert rows(urlfilter.url_filter(spark.createDataFrame([(1, "http://comen/")], "page_id long, url string"), urlfilter.rules_frame(spark, [("com", "en/", "block")]))) == [(1, "comen", "/", None, "allow")]
     none = urlfilter.url_filter(df, urlfilter.rules_frame(spark).limit(0)).collect()
     assert len(none) == len(data) and all(r.rule is None and r.verdict == "allow" for r in none)
 
 
+def test_any_number_of_rule_shapes(spark, monkeypatch):
+    rules = [("a.b.net", "/" + "x" * k, "block") for k in range(40)] + [("net", "/" + "x" * k, "allow") for k in range(30, 60)]
+    urls = [(k, f"http://{h}/{'x' * k}") for k in range(0, 70, 3) for h in ("a.b.net", "c.a.b.net", "b.net", "org")] + [(99, None)]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    want = sorted(map(str, ((i, *plain_verdict(u, rules)) for i, u in urls)))
+    for most in (urlfilter.MAX_SHAPES, 8):
+        monkeypatch.setattr(urlfilter, "MAX_SHAPES", most)
+        assert sorted(map(str, rows(urlfilter.url_filter(df, urlfilter.rules_frame(spark, rules))))) == want
+
+
 # -- decontamination --------------------------------------------------------------------------------------------------
 
 
@@ -621,6 +654,16 @@ def test_leaks(spark):
     assert rows(decontaminate.leaks(df, it.limit(0))) == [] and rows(decontaminate.leaks(df.limit(0), it)) == []
 
 
+def test_leaks_of_rows_without_an_id_and_long_items(spark, monkeypatch):
+    item = " ".join(f"word{i}" for i in range(40))
+    docs = [(None, item), (None, "clean words only"), (1, item + " x"), (1, "another clean text")]
+    df, it = docs_frame(spark, docs), spark.createDataFrame([(7, item)], "item_id long, text string")
+    for most, shuffled in ((decontaminate.MAX_SHINGLES, False), (20, False), (20, True)):
+        monkeypatch.setattr(decontaminate, "MAX_SHINGLES", most)
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 1 if shuffled else 1_000_000)
+        assert {(r.doc_id, r.text) for r in decontaminate.without_leaks(df, it).collect()} == {(None, "clean words only"), (1, "another clean text")}
+
+
 def test_blocks_guarantee_the_radius():
     rng, masks = random.Random(12), decontaminate._block_masks(decontaminate.RADIUS)
     assert sum(m & (1 << 64) - 1 for m in masks) == (1 << 64) - 1

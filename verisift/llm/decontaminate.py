@@ -11,7 +11,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Largest number of differing bits of 64 between a window's fingerprint and an item's.
 RADIUS = 18
-#: Shingles of an item at most; a longer one is refused.
+#: Up to so many shingles of an item, bits are counted in fields of 16 bits; beyond, each in a number of its own.
 MAX_SHINGLES = (1 << 16) - 1
 #: Up to so many item shingles or fingerprint blocks are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -27,19 +27,21 @@ def _shingles(words: Column, size: Column, k: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.concat_ws(" ", F.slice(words, i, k)))
 
 
-def _with_fingerprint(df: DataFrame, hashes: str, out: str) -> DataFrame:
-    """Adds the SimHash of 64 bits of a column of up to MAX_SHINGLES hashes: a bit is 1 if set in over half of them.
+def _with_fingerprint(df: DataFrame, hashes: str, out: str, wide: bool = False) -> DataFrame:
+    """Adds the SimHash of 64 bits of a column of hashes: a bit is 1 if set in over half of them.
 
-    Every 16th bit is counted at once, in four fields of 16 bits of a long.
+    Of up to MAX_SHINGLES hashes, every 16th bit is counted at once, in four fields of 16 bits of a long; if wide,
+    each bit is counted alone, for any number.
     """
+    step, ones_of = (64, 1) if wide else (16, 0x0001000100010001)
 
     def counted(j: int):
-        return lambda acc, h: acc + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(0x0001000100010001))
+        return lambda acc, h: acc + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ones_of).cast("long"))
 
-    sums = {f"__sums{j}": F.aggregate(hashes, F.lit(0).cast("long"), counted(j)) for j in range(16)}
+    sums = {f"__sums{j}": F.aggregate(hashes, F.lit(0).cast("long"), counted(j)) for j in range(step)}
     fp = F.lit(0).cast("long")
     for b in range(64):
-        ones = F.shiftrightunsigned(f"__sums{b % 16}", b // 16 * 16).bitwiseAND(0xFFFF)
+        ones = F.col(f"__sums{b}") if wide else F.shiftrightunsigned(f"__sums{b % 16}", b // 16 * 16).bitwiseAND(0xFFFF)
         bit = F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")
         fp = fp.bitwiseOR(F.when(ones * 2 > F.size(hashes), bit).otherwise(F.lit(0).cast("long")))
     return df.withColumns(sums).withColumn(out, fp).drop(*sums)
@@ -83,19 +85,20 @@ def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col:
     i = i.withColumn("ish", _shingles(F.col("iw"), F.col("n"), F.col("k"))).select("item_id", "n", "k", "ish")
 
     by_size = i.groupBy("k").agg(F.max("n")).collect()  # at most shingle_words rows
-    if any(n > MAX_SHINGLES for _, n in by_size):
-        raise ValueError(f"an item has more than {MAX_SHINGLES} words")
+    wide = any(n > MAX_SHINGLES for _, n in by_size)
     sizes = sorted(k for k, _ in by_size)
     words = docs.select(row_id().alias("rid"), F.col(doc_col).alias("doc_id"), words_of(F.col(text_col)).alias("w")).withColumn("size", F.size("w"))
-    windows = None
+    windows, kept = None, None
     for s in sizes:
         seeds = i.where(F.col("k") == s).select("n", F.posexplode("ish").alias("o", "s"))
         pieces = F.split("s", " ")
         seeds = seeds.select(F.xxhash64(*[F.get(pieces, F.lit(j)) for j in range(s)]).alias("h"), "n", "o").distinct()
-        seeds = F.broadcast(seeds) if small_enough(seeds, BROADCAST_ROWS) else seeds
+        few = small_enough(seeds, BROADCAST_ROWS)
+        if not few and kept is None:  # positions are shuffled without the words, which join them afterwards
+            kept = words = save(words, "words")
         at = words.where(F.col("size") >= s).select("rid", "doc_id", "w", "size", F.explode(F.sequence(F.lit(0), F.col("size") - s)).alias("p"))
         at = at.withColumn("h", F.xxhash64(*[F.get("w", F.col("p") + j) for j in range(s)]))
-        hit = at.join(seeds, "h")
+        hit = at.join(F.broadcast(seeds), "h") if few else at.select("rid", "p", "h").join(seeds, "h").join(words, "rid")
         start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), F.col("size") - F.col("n")))
         hit = hit.select("rid", "doc_id", "n", start.alias("start"), F.lit(s).alias("k"), F.concat_ws(" ", F.slice("w", start + 1, F.col("n"))).alias("window"))
         windows = hit if windows is None else windows.unionByName(hit)
@@ -109,9 +112,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col:
     w = windows.groupBy("rid", "doc_id", "n", "start", "k", "window").agg(F.lit(1).alias("one")).repartition(tasks, "rid", "start", "n")
     w = w.withColumn("ww", F.split("window", " "))
     w = w.withColumn("wsh", _shingles(F.col("ww"), F.size("ww"), F.least(F.col("k"), F.size("ww")))).withColumn("wh", _hashes("wsh"))
-    w = _with_fingerprint(w, "wh", "wfp")
+    w = _with_fingerprint(w, "wh", "wfp", wide)
     w = w.select("rid", "doc_id", "n", "start", "wsh", "wfp", blocks("wfp")).select("*", "e.b", "e.v").drop("e")
-    i = _with_fingerprint(i.withColumn("ih", _hashes("ish")), "ih", "ifp").select("item_id", "n", "ish", "ifp", blocks("ifp")).select("*", "e.b", "e.v").drop("e")
+    i = _with_fingerprint(i.withColumn("ih", _hashes("ish")), "ih", "ifp", wide).select("item_id", "n", "ish", "ifp", blocks("ifp")).select("*", "e.b", "e.v").drop("e")
     i = F.broadcast(i) if small_enough(i, BROADCAST_ROWS // 10) else i
     x = F.col("wfp").bitwiseXOR(F.col("ifp"))
     first = F.coalesce(*[F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(b)) for b, m in enumerate(masks)])
@@ -127,11 +130,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs, unchanged, that hold no benchmark item; with a null id, rows are not told apart and stay."""
-    found = save(leaks(docs, items, doc_col, **how).where("doc_id is not null").select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+def without_leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, unchanged, that hold no benchmark item. Rows are told apart by id and text, so that those with
+    a null id and those that share an id are judged one by one."""
+    key = F.struct(F.col(doc_col).alias("__id"), F.xxhash64(text_col).alias("__hash")).alias("doc_id")
+    found = leaks(docs.select(key, F.col(text_col).alias("text")), items.withColumnRenamed(text_col, "text"), "doc_id", text_col="text", **how)
+    found = save(found.select("doc_id.*").distinct(), "leaks")
     found = F.broadcast(found) if small_enough(found, BROADCAST_ROWS) else found
-    return docs.join(found, F.col(doc_col) == F.col("__leak"), "left_anti")
+    return docs.join(found, F.col(doc_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left_anti")
 
 
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"

@@ -10,10 +10,10 @@ from collections import deque
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import save, small_enough, table
 
 WINDOW = 2_048
 END_ID = 1
@@ -22,8 +22,12 @@ VOCABULARY = "byte_bpe_50k"
 BIN_TOKENS = 1 << 20
 #: Bins of a task, on average, at most.
 TASK_BINS = 16
-#: Bins that take over what a bin lacks of a source.
-CARRY = 8
+#: Parts of a queue for each bin: the queue is dealt out to bins part by part.
+CELLS = 8
+#: Up to so many parts are broadcast; more are joined by a shuffle.
+BROADCAST_CELLS = 500_000
+#: Neighbouring rows of a running sum that one task adds up at a time.
+RUN_ROWS = 1 << 12
 #: Texts are encoded in parts of about so many characters.
 PART_CHARS = 1 << 18
 
@@ -142,13 +146,13 @@ def _pack_bin(window: int):
         if not rows.num_rows:
             return schema.empty_table()
         rows = rows.sort_by([("o", "ascending"), ("rid", "ascending")])
-        docs, sources, tokens, ids = (rows.column(c).to_pylist() for c in ("doc_id", "source", "n", "ids"))
-        names_ = plan.column("source").to_pylist()
+        docs, sources, queues, tokens, ids = (rows.column(c).to_pylist() for c in ("doc_id", "source", "queue", "n", "ids"))
+        names_ = plan.column("queue").to_pylist()
         shares, owed = (dict(zip(names_, plan.column(c).to_pylist())) for c in ("share", "owed"))
         first = rows.column("b")[0].as_py() << 32
         unpack, out = zstandard.ZstdDecompressor().decompress, [[] for _ in names]
         opened: dict[int, np.ndarray] = {}
-        for i, start, n, sequence, offset in deal(list(zip(sources, tokens)), shares, owed, window):
+        for i, start, n, sequence, offset in deal(list(zip(queues, tokens)), shares, owed, window):
             if i not in opened:
                 raw = unpack(ids[i])
                 opened[i] = np.frombuffer(raw, f"<u{len(raw) // tokens[i]}")
@@ -162,46 +166,65 @@ def _pack_bin(window: int):
     return run
 
 
+def _before(df: DataFrame, key: str, at: str, value: str, out: str) -> DataFrame:
+    """Adds the sum of value over the rows of the same key with a smaller at. Stretches of RUN_ROWS are summed up on
+    their own first, so that a key with very many rows is no single task."""
+    df = df.withColumn("__run", F.floor(F.col(at) / RUN_ROWS))
+    runs = df.groupBy(key, "__run").agg(F.sum(value).alias("__sum"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(key, "__run", F.coalesce(F.sum("__sum").over(earlier(Window.partitionBy(key).orderBy("__run"))), F.lit(0)).alias("__start"))
+    inside = F.coalesce(F.sum(value).over(earlier(Window.partitionBy(key, "__run").orderBy(at))), F.lit(0))
+    return df.withColumn(out, inside).join(runs, [key, "__run"]).withColumn(out, F.col(out) + F.col("__start")).drop("__run", "__start")
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str, float] | None = None, window: int = WINDOW, bin_tokens: int = BIN_TOKENS, encoder=Encoder) -> DataFrame:
     """Pieces of all documents in sequences of window tokens: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, source.
 
-    Tokens are written to the shared folder once. Rows are dealt by a hash into bins of about bin_tokens tokens;
-    every bin fills its windows by deficit round-robin over its source queues, aiming at each source's share of the
-    tokens (by weights, or else its share of the corpus). What a source lacks or has too much of after the bins
-    before is known from their token counts by source, and the bin starts with that deficit. Only the last sequence
-    of a bin is padded. No bin depends on a source's size, so that a hot source is spread over all bins.
+    Every source is a queue, whose documents are in the order of a hash; with weights, sources that have none are
+    one queue together. Tokens are written to the shared folder once. Bins are stretches of about bin_tokens tokens
+    of what round-robin over all queues would send: a queue's documents go to bins by the tokens before them in the
+    queue, divided by the queue's share (its weight, or else its share of the corpus). So every bin holds a part of
+    each queue that is not yet empty, in proportion to the shares. A bin then fills its windows by deficit
+    round-robin. What a queue lacks or has too much of after all bins before is known from their token counts by
+    queue, a running sum in which every token is counted once, and the bin starts with that deficit. Only the last
+    sequence of a bin is padded. A hot source is spread over all bins.
 
     Null texts count as empty: one piece with END_ID. A null source is the source "". Repeated rows and null ids are
-    packed like others. A source without a weight, or with one that is not above 0, gets the smallest weight. Other
-    columns are ignored; an empty table gives no piece.
+    packed like others. Sources without a weight, or with one that is not above 0, get the smallest weight, all of
+    them together. Other columns are ignored; an empty table gives no piece.
     """
     spark = docs.sparkSession
     tokens = save(tokenize(docs, id_col, text_col, source_col, encoder), "tokens")
     total = tokens.agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-total // bin_tokens))
-    tokens = tokens.withColumn("b", F.pmod(F.xxhash64("rid"), F.lit(bins)))
-    sums = tokens.groupBy("b", "source").agg(F.sum("n").alias("s"))
-    by_source = sums.groupBy("source").agg(F.sum("s").alias("all_s"))
+    bits = (bins * CELLS - 1).bit_length()
+    weights = {k: float(w) for k, w in (weights or {}).items() if w > 0}
+    queue = F.when(F.col("source").isin(*weights), F.concat(F.lit("="), "source")).otherwise("*") if weights else F.col("source")
+    # The hash without its sign; its first bits are the cell.
+    tokens = tokens.withColumn("queue", queue).withColumn("o", F.shiftrightunsigned(F.xxhash64("rid"), 1)).withColumn("cell", F.shiftright("o", 63 - bits))
+    cells = save(tokens.groupBy("queue", "cell").agg(F.sum("n").alias("s")), "cells")
+    sizes = cells.groupBy("queue").agg(F.sum("s").alias("size"))
     if weights:
-        least = min([w for w in weights.values() if w > 0], default=1.0)
-        known = spark.createDataFrame([(k, float(w)) for k, w in weights.items() if w > 0] or [("", 1.0)], "source string, w double")
-        by_source = by_source.join(known, "source", "left").select("source", F.coalesce("w", F.lit(least)).alias("w"))
+        sizes = [(r["queue"], r["size"], weights.get(r["queue"][1:], min(weights.values()))) for r in sizes.collect()]  # as many as weights, and one
+        all_ = sum(w for _, _, w in sizes)
+        shares = spark.createDataFrame([(q, w / all_) for q, _, w in sizes], "queue string, share double")
+        # Tokens that round-robin has sent when a queue with share 1 would have sent x.
+        sent = lambda x: sum((F.least(F.lit(float(n)), F.lit(w / all_) * x) for _, n, w in sizes), F.lit(0.0))
     else:
-        by_source = by_source.select("source", F.col("all_s").cast("double").alias("w"))
-    by_source = save(by_source, "shares")
-    weight = by_source.agg(F.sum("w")).first()[0] or 1.0
-    by_source = by_source.select("source", (F.col("w") / weight).alias("share"))
-    sums = save(sums, "sums")
-    of_bin = sums.groupBy("b").agg(F.sum("s").alias("t"))
-    lack = of_bin.join(sums, "b").join(by_source, "source").select("b", "source", "share", (F.col("share") * F.col("t") - F.col("s")).alias("lack"))
-    # A deficit reaches the next CARRY bins and fades out, so that a share that the corpus cannot give does not pile up.
-    carried = lack.select("source", "lack", F.explode(F.sequence(F.col("b") + 1, F.col("b") + CARRY)).alias("b")).groupBy("b", "source").agg(F.sum("lack").alias("lack"))
-    clamped = F.greatest(F.least(F.col("carried.lack"), F.lit(float(window))), F.lit(-float(window)))
-    plan = lack.alias("own").join(carried.alias("carried"), ["b", "source"], "left").select("b", "source", "share", F.coalesce(clamped, F.lit(0.0)).alias("owed"))
+        shares, sent = sizes.select("queue", (F.col("size") / total).alias("share")), lambda x: x
+    shares = save(shares, "shares")
+    cells = _before(cells, "queue", "cell", "s", "before").join(shares, "queue")
+    cells = save(cells.withColumn("b", F.least(F.floor(sent(F.col("before") / F.col("share")) / bin_tokens), F.lit(bins - 1))), "dealt")
+    sums = cells.groupBy("b", "queue", "share").agg(F.sum("s").alias("s"))
+    of_bin = sums.groupBy("b").agg(F.sum("s").alias("t"), F.sum("share").alias("active"))
+    lack = save(sums.join(of_bin, "b").select("b", "queue", "share", (F.col("share") / F.col("active") * F.col("t") - F.col("s")).alias("lack")), "lacks")
+    plan = _before(lack, "queue", "b", "lack", "owed").select("b", "queue", "share", "owed")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bins // TASK_BINS))
-    rows, plan = tokens.withColumn("o", F.xxhash64("rid")).repartition(tasks, "b"), plan.repartition(tasks, "b")
-    return rows.groupBy("b").cogroup(plan.groupBy("b")).applyInArrow(_pack_bin(window), _PIECES)
+    places = cells.select("queue", "cell", "b")
+    places = F.broadcast(places) if small_enough(places, BROADCAST_CELLS) else places
+    rows = tokens.join(places, ["queue", "cell"]).select("b", "o", "rid", "doc_id", "source", "queue", "n", "ids")
+    return rows.repartition(tasks, "b").groupBy("b").cogroup(plan.repartition(tasks, "b").groupBy("b")).applyInArrow(_pack_bin(window), _PIECES)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

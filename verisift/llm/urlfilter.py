@@ -21,8 +21,9 @@ RULES = (
 PREFIX_DIGITS = 8
 #: Up to so many rules are broadcast; more are joined by a shuffle.
 BROADCAST_RULES = 200_000
-#: Distinct (host labels, path length) pairs that a rule list may have: each is one expression per URL.
-MAX_SHAPES = 4_096
+#: With up to so many (host labels, path length) pairs in the rules, each is one expression per URL. Beyond, a URL's host
+#: suffixes are joined with the rules' hosts first, and only path lengths of those that are met are expanded.
+MAX_SHAPES = 256
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -58,9 +59,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         .groupBy("rh", "rp").agg(F.max(F.col("rv") == "block").alias("blocks"))
     )
     shapes = sorted(tuple(x) for x in r.select(F.size(F.split("rh", r"\.")), F.length("rp")).distinct().limit(MAX_SHAPES + 1).collect())
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"the rules have more than {MAX_SHAPES} pairs of host labels and path length")
-    digest = F.sha2(F.concat("rh", "rp"), 256)
+    hosts = r.groupBy("rh").agg(F.collect_set(F.length("rp")).alias("lengths"))
+    digest = F.sha2(F.concat("rh", F.lit("/"), "rp"), 256)  # no host holds a slash
     r = r.select(F.substring(digest, 1, PREFIX_DIGITS).alias("k"), digest.alias("rule_digest"), "blocks")
     r = F.broadcast(r) if small_enough(r, BROADCAST_RULES) else r
 
@@ -72,12 +72,20 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
             (F.col("labels") >= n) & (F.length("path") >= m),
             F.struct(F.substring_index("host", ".", -n).alias("h"), F.substring("path", 1, m).alias("p")),
         )
-        for n, m in shapes
+        for n, m in shapes[:MAX_SHAPES]
     ]
     none = F.lit(None).cast("struct<h:string,p:string>")
-    keyed = urls.select("rid", "page_id", "host", "path", F.explode(F.array(none, *parts)).alias("e"))
+    own = ["rid", "page_id", "host", "path"]
+    if len(shapes) <= MAX_SHAPES:
+        keyed = urls.select(*own, F.explode(F.array(none, *parts)).alias("e"))
+    else:
+        hosts = F.broadcast(hosts) if small_enough(hosts, BROADCAST_RULES) else hosts
+        suffixes = urls.select(*own, F.explode(F.transform(F.sequence(F.lit(1), "labels"), lambda n: F.array_join(F.slice(F.split("host", r"\."), -n, n), "."))).alias("rh"))
+        met = suffixes.join(hosts, "rh").select(*own, "rh", F.explode("lengths").alias("m")).where(F.length("path") >= F.col("m"))
+        met = met.select(*own, F.struct(F.col("rh").alias("h"), F.substr("path", F.lit(1), F.col("m")).alias("p")).alias("e"))
+        keyed = urls.select(*own, none.alias("e")).union(met)
     # The first, null expression keeps URLs that no rule can fit.
-    keyed = keyed.where(F.col("e").isNotNull() | F.col("e.h").isNull()).withColumn("digest", F.sha2(F.concat("e.h", "e.p"), 256))
+    keyed = keyed.where(F.col("e").isNotNull() | F.col("e.h").isNull()).withColumn("digest", F.sha2(F.concat("e.h", F.lit("/"), "e.p"), 256))
     met = keyed.join(r, F.substring("digest", 1, PREFIX_DIGITS) == F.col("k"), "left")
     n_host, n_path = F.length("e.h").cast("long"), F.length("e.p").cast("long")
     # Expressions of one URL with equal host and path lengths are equal: this number tells rule and precedence.

@@ -143,11 +143,15 @@ _RECORD = "page_id long, url string, payload_bytes long, payload_digest string,
 def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records that index (rows of the index, selected at will) names, read back from the archives.
 
-    Rows are dealt by file and stretch of SPAN_BYTES and sorted by offset; ranges with small gaps are read at once.
+    Rows are dealt by file and stretch of SPAN_BYTES into a task for each SPAN_BYTES that they name, and sorted by
+    offset; ranges with small gaps are read at once.
     Size and digest of a response are computed from the payload that was read (intact: they equal the record's
     header); a revisit has those of its header. payloads: whether payloads are returned.
     """
-    dealt = index.select("file", "offset", "length", F.floor(F.col("offset") / SPAN_BYTES).alias("stretch")).repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    # A number of partitions of its own: index rows are tiny, while the bytes that they name are not.
+    spans = -(-(index.agg(F.sum("length")).first()[0] or 0) // SPAN_BYTES)
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), spans)
+    dealt = index.select("file", "offset", "length", F.floor(F.col("offset") / SPAN_BYTES).alias("stretch")).repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset")
     names = [x.split()[0] for x in _RECORD.split(", ")]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.binary()]
 
