@@ -202,7 +202,7 @@ def page(body, head=""):
 
 
 def text_of(html):
-    return htmltext.main_text(htmltext.blocks(html), None)
+    return htmltext.main_text(htmltext.blocks(html), [])
 
 
 @pytest.mark.parametrize(
@@ -212,7 +212,8 @@ def text_of(html):
         ("<article><p>a</p><div class='ad-box'>b</div><script>var t='</p>';</script><p>c</article><aside>d</aside>", "a\nc"),
         ("<div class=sidebar><p>x</div><div id='content'><p>a<p>b</div><form><input>z</form>", "a\nb"),
         ("<main><article><p>a</p></article><section id='comments'><article class='comment'><p>c</p></article></section></main>", "a"),
-        ("<header>top</header><article><header><h1>T</h1><p>by x</p></header><p>a</p></article>", "T\na"),
+        ("<header>top</header><article><header><h1>T</h1><p>by x</p></header><p>a</p></article>", "T\nby x\na"),
+        ("<article><header><h1>T</h1><p>lead</p></header><div class='share-price-table'>s</div><div class='social-history'>h</div><p>x <math><mi>y</mi></math></p></article>", "T\nlead\ns\nh\nx y"),
         ("<div class='cookie-notice'>n</div><ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a\nb\nc\nd"),
         ("<p title='a > b'>x<!-- <p>y --> z", "x z"),
         ("<p>1 < 2 and <unknown>3</unknown>", "1 < 2 and 3"),
@@ -237,14 +238,48 @@ def test_shared_lines_is_a_longest_common_subsequence():
         assert all(x in it for x in got)
 
 
+def words(rng, n):
+    return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+
 def test_differencing(spark):
-    html = lambda x: page(f"<div>Site menu</div><div>{x}</div><div>All about us</div>")
-    pages = [(1, "http://h/a/1", html("first text")), (2, "http://h/a/2", html("second text")), (3, "http://i/a", html("third text")), (4, None, None), (None, "x", ""), (2, "http://h/a/2", html("second text"))]
-    got = {(r.page_id, r.url): r for r in htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit(1))).collect()}
-    assert got[1, "http://h/a/1"].text == "first text" and got[1, "http://h/a/1"].n_chars == 10
-    assert got[2, "http://h/a/2"].text in ("second text", "Site menu\nsecond text\nAll about us")
-    assert got[3, "http://i/a"].text == "Site menu\nthird text\nAll about us"
-    assert got[4, None].text == "" and got[None, "x"].text == ""
+    """Menus and footers without any mark go if neighbours share them; copies of a page say nothing about it."""
+    rng = random.Random(3)
+    texts = {i: words(rng, 12) for i in range(6)}
+    html = lambda x: page(f"<div>Site menu</div><div>{x}</div><div>{'All about us ' * 40}</div>")
+    pages = [(i, f"http://h/a/{i}", html(texts[i])) for i in range(3)] + [(10 + i, "http://h/a/1", html(texts[1])) for i in range(80)]
+    pages += [(3, "http://i/a", html(texts[3])), (4, None, None), (None, "x", ""), (2, "http://h/a/2", html(texts[2])), (5, "http://h/a/1", html(texts[1] + " more"))]
+    got = [(r.page_id, r.text) for r in htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit(1))).collect()]
+    assert len(got) == len(pages)
+    want = {0: texts[0], 1: texts[1], 2: texts[2], 5: texts[1] + " more", 4: "", None: "", 3: f"Site menu\n{texts[3]}\n{('All about us ' * 40).strip()}"}
+    assert all(t == want.get(i, texts[1]) for i, t in got)
+
+
+def test_marked_parts_are_confirmed_and_names_overruled():
+    rng = random.Random(4)
+    body, quote = [words(rng, 30) for _ in range(6)], words(rng, 30)
+    html = lambda i: page(f"<main>Welcome to us</main><div class='notice'><p>{body[i]}</p></div><p>Legal text</p>")
+    lines = lambda h: [b.text for b in htmltext.blocks(h)]
+    text = lambda h, others: htmltext.main_text(htmltext.blocks(h), htmltext.aligned(lines(h), map(lines, others)))
+    assert text(html(0), [html(1), html(2)]) == body[0]
+    article = lambda i: page(f"<article><h1>{body[i][:20]}</h1><p>{body[i]}</p><p>{quote}</p><div class='x'>Tell your friends</div></article>")
+    assert text(article(0), [article(i) for i in (1, 2, 3)]) == f"{body[0][:20]}\n{body[0]}\n{quote}"
+
+
+def test_large_hosts_give_the_same_as_one_task(spark, monkeypatch):
+    rng = random.Random(5)
+    menus = [words(rng, 4) for _ in range(3)]
+    pages = []
+    for i in range(700):
+        section = rng.randrange(3)
+        body = "".join(f"<p>{words(rng, rng.randrange(1, 9))}</p>" for _ in range(rng.randrange(1, 4)))
+        pages.append((i, f"http://big/{'abc'[section]}/{rng.randrange(400)}", page(f"<div>{menus[section]}</div>{body}<div>Foot</div>")))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    monkeypatch.setattr(htmltext, "HOST_PAGES", 1 << 20)
+    want = sorted(rows(htmltext.extract(df)))
+    assert all("Foot" not in r[2] for r in want) and sum(any(m in r[2] for m in menus) for r in want) == 0
+    monkeypatch.setattr(htmltext, "HOST_PAGES", 100)
+    assert sorted(rows(htmltext.extract(df))) == want
 
 
 # -- nearest neighbours -----------------------------------------------------------------------------------------------
