@@ -316,6 +316,40 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), lambda i: i % 20 == 0).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["even", "clustered"])
+def test_neighbours_over_several_blocks(spark, monkeypatch, kind):
+    monkeypatch.setattr(neighbours, "CANDIDATE_BLOCK", 700)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 60)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(4000, 32))
+    if kind == "clustered":
+        v = v * 0.3 + rng.normal(size=(20, 32))[rng.integers(0, 20, 4000)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, lambda i: i % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    scores = v[::20] @ v.T
+    scores[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    want = np.argsort(-scores, axis=1, kind="stable")[:, :20]
+    assert sum(len(got[20 * q] & set(want[q].tolist())) for q in range(200)) >= 0.9 * 200 * 20
+
+
+def test_windows_save_verifications():
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(4000, 48))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    index = neighbours.Index(np.arange(4000), v, float(np.linalg.norm(v, axis=1).max()))
+    found = [set(rows.tolist()) for rows, _ in index.search(v[:100], list(range(100)), [None] * 100, 20)]
+    first, index.verified = index.verified, 0
+    scores = v[:100] @ v.T
+    scores[np.arange(100), np.arange(100)] = -np.inf
+    want = [set(np.argsort(-s)[:20].tolist()) for s in scores]
+    assert sum(len(a & b) for a, b in zip(found, want)) >= 0.9 * 2000 and first < 0.75 * 100 * 4000
+    bounds = [float(np.sort(s)[-20]) for s in scores]
+    again = [set(rows.tolist()) for rows, _ in index.search(v[:100], list(range(100)), bounds, 20)]
+    assert sum(len(a & b) for a, b in zip(again, want)) >= 0.9 * 2000 and index.verified < 0.75 * 100 * 4000
+
+
 # -- packing ----------------------------------------------------------------------------------------------------------
 
 

@@ -15,15 +15,17 @@ K = 20
 #: Queries of the registered query: every row whose id is divisible by it.
 EVERY = 20
 #: Hash functions, i.e. random projections, and how often a vector must collide with the query to be verified.
-PROJECTIONS, THRESHOLD = 24, 12
-#: Windows widen by this factor from round to round.
-WIDEN = 1.4
+PROJECTIONS, THRESHOLD = 64, 50
+#: Windows widen by this factor from round to round, up to REACH times the distance of the k-th found. A vector at that
+#: distance lies in a window with probability 0.84 (a normal variable within 1.4 deviations), and so in THRESHOLD of
+#: all with 0.9; nearer ones more often. Another REACH wants another THRESHOLD.
+WIDEN, REACH = 1.4, 1.4
 #: Share of a block that a window holds on average when collisions are first counted; narrower ones tell nothing.
 FIRST_SHARE = 0.15
 #: Queries whose windows are looked up at a time.
 TOGETHER = 128
 #: Vectors in a block of candidates and in a block of queries.
-CANDIDATE_BLOCK, QUERY_BLOCK = 4_096, 4_096
+CANDIDATE_BLOCK, QUERY_BLOCK = 16_384, 1_024
 SEED = 20
 
 
@@ -36,54 +38,93 @@ class Index:
         lift = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0))
         self.planes = np.random.default_rng(SEED).normal(size=(vectors.shape[1] + 1, PROJECTIONS))
         hashed = np.column_stack([vectors, lift]) @ self.planes
-        order = np.argsort(hashed, axis=0, kind="stable").T
-        self.values = np.take_along_axis(hashed, order.T, axis=0).T.copy()
-        #: Place of each vector in each sorted array: it lies in a window if its place does.
-        self.places = np.empty(order.shape, np.uint32 if len(ids) >> 16 else np.uint16)
-        np.put_along_axis(self.places, order, np.arange(len(ids), dtype=self.places.dtype)[None, :], axis=1)
+        self.order = np.argsort(hashed, axis=0, kind="stable").T.astype(np.int32)
+        self.values = np.take_along_axis(hashed, self.order.T, axis=0).T.copy()
         spread = float((self.values[:, -1] - self.values[:, 0]).max())
         reach = spread + 2 * float(np.abs(hashed).max()) + longest * float(np.sqrt((self.planes**2).sum(axis=0)).max())
         first = max(spread * K / len(ids) / 2, reach * 1e-6)
         #: Half widths of the windows in each round; the last hold everything.
         self.halves = first * WIDEN ** np.arange(max(1, math.ceil(math.log(max(reach, 1e-300) / max(first, 1e-300)) / math.log(WIDEN))) + 1) if reach > 0 else np.array([1.0])
+        #: How many vectors have been verified.
+        self.verified = 0
 
-    def search(self, queries: np.ndarray, own: list[int], k: int):
+    def _reach(self, score: float, size: float) -> float:
+        """Half width that vectors with this inner product want."""
+        return REACH * math.sqrt(max(0.0, 2 * self.longest**2 - 2 * self.longest * score / size))
+
+    def _ends(self, centres: np.ndarray, halves: np.ndarray) -> np.ndarray:
+        """First and last + 1 place of windows: queries x projections x halves (a row for each query), 2."""
+        out = np.empty((*centres.shape, halves.shape[1], 2), np.int64)
+        for j, v in enumerate(self.values):
+            out[:, j, :, 0] = np.searchsorted(v, centres[:, j, None] - halves)
+            out[:, j, :, 1] = np.searchsorted(v, centres[:, j, None] + halves, side="right")
+        return out
+
+    def search(self, queries: np.ndarray, own: list[int], bounds: list[float | None], k: int):
         """For each query the rows and scores of the k nearest found, all if there are no more. own: for each query
-        a row that takes no part, or -1."""
+        a row that takes no part, or -1. bounds: a score that all wanted have at least, or None."""
         n, sizes = len(self.ids), np.sqrt((queries**2).sum(axis=1))
         centres = (queries * (self.longest / sizes)[:, None]) @ self.planes[:-1]
-        ends = centres[:, :, None] + np.concatenate([-self.halves, self.halves])
-        rounds, kind = len(self.halves), self.places.dtype
-        left, width = np.empty((2, len(queries), PROJECTIONS, rounds), kind)
-        for j, v in enumerate(self.values):
-            left[:, j] = np.searchsorted(v, ends[:, j, :rounds])
-            width[:, j] = np.searchsorted(v, ends[:, j, rounds:], side="right") - left[:, j]
+        rounds = self._ends(centres, np.broadcast_to(self.halves, (len(queries), len(self.halves)))) if None in bounds else None
+        once = self._ends(centres, np.array([[0.0 if b is None else self._reach(b, s)] for b, s in zip(bounds, sizes)]))
         for q, query in enumerate(queries):
-            want = min(k, n - (own[q] >= 0))
-            totals = width[q].sum(axis=0, dtype=np.int64)
-            done = np.zeros(n, bool)
-            if own[q] >= 0:
-                done[own[q]] = True
-            rows, scores, kth = np.empty(0, np.int64), np.empty(0), 0.0
-            for r in range(min(int(np.searchsorted(totals, FIRST_SHARE * n * PROJECTIONS)), rounds - 1), rounds):
-                # The windows of a round hold those of the rounds before, so that hits can be counted afresh.
-                inside = self.places - left[q, :, r, None] < width[q, :, r, None]
-                last = r == rounds - 1
-                new = ~done if last else (np.add.reduce(inside, axis=0, dtype=np.uint8) >= THRESHOLD) & ~done
-                found = np.flatnonzero(new)
-                done |= new
-                rows, scores = np.concatenate([rows, found]), np.concatenate([scores, self.vectors[found] @ query])
-                if len(rows) < want:
-                    continue
-                kth = np.partition(scores, len(scores) - want)[len(scores) - want] if want else 0.0
-                if 2 * self.longest**2 - 2 * self.longest * kth / sizes[q] <= self.halves[r] ** 2:  # squared distance of the k-th found
-                    break
+            rows = self._bounded(once[q, :, 0], own[q]) if bounds[q] is not None else self._widening(query, centres[q], rounds[q], own[q], min(k, n - (own[q] >= 0)), sizes[q])
             # Equal vectors get equal scores only if each is summed in the same way.
-            rows = rows[scores >= kth - 1e-9 * self.longest * sizes[q]] if want else rows[:0]
             scores = (self.vectors[rows] * query).sum(axis=1)
+            if bounds[q] is not None:
+                rows, scores = rows[scores >= bounds[q]], scores[scores >= bounds[q]]
             best = np.lexsort((self.ids[rows], -scores))[:k]
             yield rows[best], scores[best]
 
+    def _bounded(self, ends: np.ndarray, own: int) -> np.ndarray:
+        """Rows that collide THRESHOLD times in one window for each projection."""
+        hits = np.concatenate([o[a:b] for o, (a, b) in zip(self.order, ends.tolist())])
+        counts = np.bincount(hits, minlength=len(self.ids))
+        if own >= 0:
+            counts[own] = 0
+        rows = np.flatnonzero(counts >= THRESHOLD)
+        self.verified += len(rows)
+        return rows
+
+    def _widening(self, query: np.ndarray, centre: np.ndarray, ends: np.ndarray, own: int, want: int, size: float) -> np.ndarray:
+        """Rows verified while windows widen. A round counts only the entries that its windows newly cover."""
+        n, last = len(self.ids), ends.shape[1] - 1
+        totals = (ends[:, :, 1] - ends[:, :, 0]).sum(axis=0)
+        counts, done = np.zeros(n, np.int64), np.zeros(n, bool)
+        if own >= 0:
+            done[own] = True
+        rows, scores = [np.empty(0, np.int64)], np.empty(0)
+        covered = np.repeat(ends[:, :1, 0], 2, axis=1)  # nothing: both ends at the same place
+
+        def verify(found):
+            nonlocal scores
+            done[found] = True
+            self.verified += len(found)
+            rows.append(found)
+            scores = np.append(scores, self.vectors[found] @ query)
+
+        def newly(now):
+            nonlocal counts, covered
+            parts = [x for o, (a, b), (x0, x1) in zip(self.order, now.tolist(), covered.tolist()) for x in (o[a:x0], o[x1:b])]
+            counts = counts + np.bincount(np.concatenate(parts), minlength=n)
+            covered = now
+            verify(np.flatnonzero((counts >= THRESHOLD) & ~done))
+
+        def wanted() -> float:
+            return self._reach(float(np.partition(scores, len(scores) - want)[len(scores) - want]), size) if want and len(scores) >= want else math.inf
+
+        for r in range(min(int(np.searchsorted(totals, FIRST_SHARE * n * PROJECTIONS)), last), last + 1):
+            newly(ends[:, r])
+            half = wanted()
+            if half <= self.halves[r]:
+                break
+            if r < last and half <= self.halves[r + 1]:  # the last round is as wide as it must be, no wider
+                newly(np.array([[np.searchsorted(v, c - half), np.searchsorted(v, c + half, side="right")] for v, c in zip(self.values, centre)]))
+                break
+            if r == last:
+                verify(np.flatnonzero(~done))
+        return np.concatenate(rows)
+
 
 def _search_block(k: int, longest: float):
     schema = pa.schema([("qrow", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -96,10 +137,10 @@ def _search_block(k: int, longest: float):
             return schema.empty_table()
         at = {r: i for i, r in enumerate(cands.column("rid").to_pylist())}
         index = Index(cands.column("id").to_numpy(), vectors(cands), longest)
-        rids, ids, qs = queries.column("rid").to_pylist(), queries.column("id").to_pylist(), vectors(queries)
+        rids, ids, bounds, qs = *(queries.column(c).to_pylist() for c in ("rid", "id", "bound")), vectors(queries)
         out = ([], [], [], [])
         for a in range(0, len(qs), TOGETHER):
-            found = index.search(qs[a : a + TOGETHER], [at.get(r, -1) for r in rids[a : a + TOGETHER]], k)
+            found = index.search(qs[a : a + TOGETHER], [at.get(r, -1) for r in rids[a : a + TOGETHER]], bounds[a : a + TOGETHER], k)
             for rid, qid, (rows, scores) in zip(rids[a:], ids[a:], found):
                 out[0].append(np.full(len(rows), rid))
                 out[1].append(np.full(len(rows), qid))
@@ -113,11 +154,13 @@ def _search_block(k: int, longest: float):
 def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query by inner product, ties to the smaller vec_id.
 
-    Candidates and queries are dealt by a hash of the row into blocks of bounded size; each pair of blocks is a
-    task of its own, whose index holds the block's vectors sorted along PROJECTIONS random lines. Windows around the
-    query's projections widen step by step; vectors inside at least THRESHOLD of them are verified by their inner
-    product in double precision, until the windows reach as far as the k-th found. All windows together hold
-    everything in the end, so that k are found wherever there are k. A partial top k precedes the last shuffle.
+    Vectors are dealt by a hash of the row into blocks of bounded size, each with an index of its own: the block's
+    vectors sorted along PROJECTIONS random lines. In the block that a query lies in, windows around its projections
+    widen step by step; vectors inside at least THRESHOLD of them are verified by their inner product in double
+    precision, until the windows reach far enough for the k-th found. Its score bounds what can be among the nearest,
+    so that one window for each projection does for every other block, of which only vectors above the bound come
+    back, k at most. All windows together hold everything in the end, so that k are found wherever there are k. A
+    partial top k precedes the last shuffle.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, and so do null ids; vectors of
     another length than the query have no inner product with it. Repeated rows are candidates of their own; a query
@@ -132,12 +175,23 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     n_blocks, n_query_blocks = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     block = lambda m: F.pmod(F.xxhash64("rid"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    cands = rows.select("id", "v", "rid", F.size("v").alias("dim"), block(n_blocks).alias("cb"), every(n_query_blocks).alias("qb"))
-    queries = rows.where(is_query(F.col("id"))).select("id", "v", "rid", F.size("v").alias("dim"), block(n_query_blocks).alias("qb"), every(n_blocks).alias("cb"))
-    keys = ["cb", "qb", "dim"]
-    found = cands.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_search_block(k, float(longest or 0)), "qrow long, query_id long, vec_id long, score double")
+    rows = rows.select("id", "v", "rid", F.size("v").alias("dim"), block(n_blocks).alias("cb"))
+    queries, found = rows.where(is_query(F.col("id"))), "qrow long, query_id long, vec_id long, score double"
+    run = _search_block(k, float(longest or 0))
+    keys = ["cb", "dim"]
+    home = queries.withColumn("bound", F.lit(None).cast("double"))
+    at_home = save(rows.groupBy(*keys).cogroup(home.groupBy(*keys)).applyInArrow(run, found), "at-home")
+    all_ = at_home
+    if n_blocks > 1:
+        bounds = at_home.groupBy(F.col("qrow").alias("rid")).agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
+        bounds = queries.withColumnRenamed("cb", "home").join(bounds, "rid", "left")
+        dealt = bounds.select("id", "v", "rid", "dim", "home", "bound", block(n_query_blocks).alias("qb"), every(n_blocks).alias("cb")).where("cb <> home").drop("home")
+        keys = ["cb", "qb", "dim"]
+        cands = rows.select("*", every(n_query_blocks).alias("qb"))
+        cands, dealt = cands.toDF(*cands.columns), dealt.toDF(*dealt.columns)  # both come from rows
+        all_ = at_home.union(cands.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(run, found))
     rank = F.row_number().over(Window.partitionBy("qrow").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return all_.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
