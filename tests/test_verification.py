@@ -170,11 +170,13 @@ def test_resolve(spark, corpus):
     "given, want",
     [
         ("خلال 30 يوما", [(30.0, "يوم")]), ("ثلاثين يوماً", [(30.0, "يوم")]), ("خمسة وأربعين يوماً", [(45.0, "يوم")]), ("مائة وعشرين يوما", [(120.0, "يوم")]),
-        ("سنتين", [(2.0, "سنه")]), ("خمسة آلاف دينار", [(5000.0, "دينار")]), ("نسبة 50%", [(50.0, "%")]), ("2.5 يوم", [(2.0, "يوم"), (5.0, "يوم")]), ("", []),
+        ("سنتين", [(2.0, "سنه")]), ("خمسة آلاف دينار", [(5000.0, "دينار")]), ("نسبة 50%", [(50.0, "%")]), ("2.5 يوم", [(2.0, "يوم"), (5.0, "يوم")]), ("", []), (None, []),
+        ("ثلاثة أو 5 أيام", [(3.0, "يوم"), (5.0, "يوم")]), ("عشرون شهرين", [(2.0, "شهر"), (20.0, "")]), ("ألف ومائة وعشرون دينارا", [(1120.0, "دينار")]), ("ثلاثة آلاف وخمسمائة دينار", [(500.0, "دينار"), (3000.0, "دينار")]),
+        ("خمسة عشر و يوم", [(5.0, "يوم"), (10.0, "يوم")]), ("مائة و", [(100.0, "")]), ("ب12ج3", [(3.0, ""), (12.0, "")]),
     ],
 )
-def test_quantities(given, want):
-    assert quantities.extract(given) == want
+def test_quantities(spark, given, want):
+    assert [tuple(q) for q in one(spark, quantities.quantities("t"), t=given)] == want
 
 
 @pytest.mark.parametrize(
@@ -299,8 +301,16 @@ def test_calibration(spark):
         ("رقم 123456789 و1234567", "idnum", ["123456789"]), ("نسبة 12.5%", "percent", ["12.5"]),
     ],
 )
-def test_fields(given, kind, want):
-    assert [f["value"] for f in fields.find(given) if f["kind"] == kind] == want
+def test_fields(spark, given, kind, want):
+    df = spark.createDataFrame([(1, given), (2, None)], "k long, text string")
+    assert [r.value for r in fields.critical_fields(df, ["k"]).collect() if r.kind == kind] == want
+
+
+def test_field_places(spark):
+    df = spark.createDataFrame([(1, "x\nفي ٠١/٠٢/٢٠٢٠ و 01/02/2020\n 01/02/2020  123456789")], "k long, text string")
+    got = {(r.kind, r.raw, r.value, r.line, r.context) for r in fields.critical_fields(df, ["k"]).collect()}
+    around = "x في ٠١/٠٢/٢٠٢٠ و 01/02/2020 01/02/2020 123456789"
+    assert got == {("date", "01/02/2020", "2020-02-01", 2, around), ("date", "01/02/2020", "2020-02-01", 3, around), ("idnum", "123456789", "123456789", 3, around)}
 
 
 @pytest.mark.parametrize(
@@ -312,8 +322,9 @@ def test_fields(given, kind, want):
         ("المبلغ 12٣45 دينار", "mixed_digits", True), ("الرقم الشخصي 879912345", "impossible_birth_date", True), ("الرقم الشخصي 870512345", "impossible_birth_date", False), ("خصم 150%", "over_100_percent", True),
     ],
 )
-def test_consistency(given, code, there):
-    assert any(x["code"] == code for x in fields.inconsistencies(given)) == there
+def test_consistency(spark, given, code, there):
+    df = spark.createDataFrame([(1, given), (2, None)], "k long, text string")
+    assert any(x.code == code for x in fields.consistency(df, ["k"]).collect()) == there
 
 
 def test_readers(spark):

@@ -1,7 +1,7 @@
 """Normalising, folding and stemming of text as Column expressions.
 
 All classes of characters are written out (\\p{L}, \\p{N}), as \\w and \\d mean ASCII to the JVM. Only the Unicode
-normal forms need a vectorised UDF; texts of Latin-1 characters, which are their own normal form, skip it.
+normal forms need a UDF; it gets only texts with a character that a normal form may change.
 """
 
 from __future__ import annotations
@@ -30,6 +30,30 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+#: Marks, parts of Hangul syllables, and characters that are written with others in NFC.
+_NOT_NFC = r"[\p{M}\x{340}-\x{37E}\x{387}\x{958}-\x{95F}\x{9DC}-\x{9DF}\x{A33}-\x{A5E}\x{B5C}\x{B5D}\x{F43}-\x{FB9}\x{1100}-\x{11FF}\x{1F71}-\x{1FFD}\x{2000}\x{2001}\x{2126}-\x{212B}\x{2329}\x{232A}\x{2ADC}\x{F900}-\x{FB4E}\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1D}]"
+
+
+def composed(c) -> Column:
+    """The composed normal form. Texts that are in it for sure do not leave the JVM."""
+    return F.coalesce(_nfc(F.when(col(c).rlike(_NOT_NFC), col(c))), col(c))
+
+
+def positions(c, pattern: str) -> Column:
+    """array<struct<raw, pos>> of the matches of a pattern without groups that capture at its ends, positions from 0:
+    what lies before a match is summed up once."""
+    raws = F.regexp_extract_all(col(c), F.lit(f"({pattern})"), F.lit(1))
+    gaps = F.slice(F.split(col(c), pattern), F.lit(1), F.size(raws))
+    empty = F.array().cast("array<struct<raw:string,pos:int>>")
+
+    def step(s, m):
+        at = s["next"] + F.length(m["gap"])
+        return F.struct((at + F.length(m["raw"])).alias("next"), F.concat(s["found"], F.array(F.struct(m["raw"].alias("raw"), at.alias("pos")))).alias("found"))
+
+    both = F.zip_with(gaps, raws, lambda g, r: F.struct(g.alias("gap"), r.alias("raw")))
+    return F.when(F.size(raws) > 0, F.aggregate(both, F.struct(F.lit(0).alias("next"), empty.alias("found")), step, lambda s: s["found"])).otherwise(empty)
+
+
 def normalize_digits(c) -> Column:
     """Arabic-Indic and extended digits to ASCII."""
     return F.translate(col(c), lexicon.ARABIC_DIGITS + lexicon.EXTENDED_DIGITS, "0123456789" * 2)
@@ -49,7 +73,7 @@ def _tidy(c: Column) -> Column:
 
 def normalize(c, nfc: bool = True) -> Column:
     """NFC, ASCII digits, no vowel signs, single blanks, at most one empty line. nfc=False: the input has that form."""
-    return _tidy(_nfc(col(c)) if nfc else col(c))
+    return _tidy(composed(c) if nfc else col(c))
 
 
 def fold(c, nfc: bool = False) -> Column:

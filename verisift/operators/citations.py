@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import lexicon as lx
-from ..functions.text import article_key, col, normalize_digits, strip_zeros
+from ..functions.text import article_key, col, normalize_digits, positions, strip_zeros
 
 _D = "[0-9٠-٩۰-۹]"
 #: Groups: type, number, year, article, article with bis.
@@ -18,18 +18,6 @@ MARKER = rf"⟦\s*BH\s*:\s*(law|dl|dec|ord|reg)\s*:\s*({_D}+)\s*/\s*({_D}{{4}})\
 LOOSE_MARKER = r"⟦[^⟧]{0,120}⟧"
 
 
-def positions(text: Column, pattern: str) -> Column:
-    """array<struct<raw, pos>> of the matches, positions from 0: what lies before a match is summed up."""
-    raws = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(text, pattern)
-
-    def at(raw, i):
-        before = F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda n, g: n + F.length(g))
-        return F.struct(raw.alias("raw"), (before + F.aggregate(F.slice(raws, F.lit(1), i), F.lit(0), lambda n, r: n + F.length(r))).alias("pos"))
-
-    return F.when(F.size(raws) > 0, F.transform(raws, at)).otherwise(F.array().cast("array<struct<raw:string,pos:int>>"))
-
-
 def parse_markers(docs: DataFrame, text: str = "text") -> DataFrame:
     """A row for each valid marker, in document order: raw, pos, type, number, year, article, bis, instrument_id,
     article_key, ref_id, next to the columns of docs."""

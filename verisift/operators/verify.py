@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions.quantities import conflicting, quantities
-from ..functions.text import col, line_of
+from ..functions.text import col, composed, line_of
 from .citations import MARKER, malformed_markers, resolve, sections, with_claims
 from .retrieval import overlap
 
@@ -29,7 +29,8 @@ def support(pairs: DataFrame, idf: DataFrame | None, keys: list[str], min_overla
     article that the claim leaves out.
     """
     rows = overlap(pairs, idf, keys).withColumn("claim_frames", frames("claim", patterns)).withColumn("article_frames", frames("article", patterns))
-    rows = rows.withColumn("__q", quantities("claim")).withColumn("__p", quantities("article"))
+    rows = rows.withColumns({"__c": composed("claim"), "__a": composed("article")})
+    rows = rows.withColumns({"__q": quantities("__c"), "__p": quantities("__a")}).drop("__c", "__a")
     has = lambda side, name: F.array_contains(side, name)
     wrong = F.transform(conflicting(F.col("__q"), F.col("__p")), lambda q: F.concat(F.lit("quantity:"), q["value"].cast("string"), F.lit(" "), q["unit"]))
     permits = (has("claim_frames", "permission") | has("claim_frames", "entitlement")) & ~has("claim_frames", "prohibition")
