@@ -535,6 +535,47 @@ def test_stream(spark, tmp_path):
     assert "7" in keys and "8" not in keys and spark.read.parquet(where[2]).count() == 2
 
 
+def test_proposals_and_answers(spark, corpus):
+    rules = spark.createDataFrame([("c", "required", "leave", "إجازة العامل", "statutory", ["x"], "why", "", ["إجازة سنوية", "الفصل"]), ("c", "void", "none", "كلمةغريبة", "statutory", ["x"], "", None, []), ("c", "required", "set", "x", "statutory", ["x"], "", "⟦BH:law:36/2012:م99⟧", [])], contracts.RULES)
+    got = contracts.proposals(rules, corpus[1], corpus[0]).collect()
+    assert {r.key for r in got} == {"leave", "none"} and [r.article_key for r in got if r.key == "none"] == [None]
+    assert [r.place for r in sorted((r for r in got if r.key == "leave"), key=lambda r: r.place)][0] == 1
+    sheet = "# x\n## c/leave\n**البند:** y\n- `z`\n**المعتمد:** `⟦BH:law:36/2012:م99⟧` \n---\n## c/none\n**المعتمد:** \n## c/set\n**المعتمد:** ⟦BH:law:1/1900:م1⟧\n"
+    answers = contracts.sheet_answers(spark.createDataFrame([(sheet,)], "text string"))
+    assert {(r.ctype, r.key, r.sanad) for r in answers.collect()} == {("c", "leave", "⟦BH:law:36/2012:م99⟧"), ("c", "set", "⟦BH:law:1/1900:م1⟧")}
+    new = contracts.with_accepted(rules, answers, *corpus)
+    assert {r.key: r.sanad for r in new.collect()} == {"leave": "⟦BH:law:36/2012:م99⟧", "none": None, "set": "⟦BH:law:36/2012:م99⟧"}
+
+
+def test_frontmatter(spark):
+    say = lambda t: one(spark, workflow.frontmatter("t"), t=t)
+    got = say("---\nname: 'a: b'\ntitle: x\ntitle: y\n# no: c\n---\nbody --- x")
+    assert (got.fields, got.body, got.fault) == ({"name": "a: b", "title": "y"}, "\nbody --- x", None)
+    assert say("---\ndescription: >-\n  x\n---\n").fault == "block_scalar:description" and say("x").fault == "no_frontmatter" and say("x").fields is None
+
+
+def test_store_extras(spark, tmp_path, corpus):
+    reg = spark.createDataFrame([("a",), ("b",)], "key string")
+    assert [r.key for r in store.only(reg, ["b", "x"]).collect()] == ["b"]
+    with pytest.raises(ValueError):
+        store.only(reg, ["x"])
+    assert one(spark, store.is_date("t"), t="2024-01-31") and not one(spark, store.is_date("t"), t="2024-1-31\n") and not one(spark, store.is_date("t"), t=None)
+    store.write_export(*corpus, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == store.export(*corpus).count()
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "x.bin").write_bytes(b"%PDF-1")
+    row = store.manifest(documents.read_files(spark, str(tmp_path / "f"))).first()
+    assert (row.fmt, row.bytes, len(row.sha256)) == ("pdf", 6, 64)
+    df = spark.createDataFrame([(1, "5% و 6%"), (1, "12/12/2020")], "doc_id long, text string")
+    assert {(r.kind, r.n) for r in fields.kind_counts(fields.critical_fields(df, ["doc_id"]), ["doc_id"]).collect()} == {("percent", 2), ("date", 1)}
+
+
+def test_composed_forms_fold_alike(spark):
+    assert one(spark, text.fold(text.composed("t")), t="cafe\u0301 e\u0301x") == "café éx" == one(spark, text.fold(text.composed("t")), t="café éx")
+    df = spark.createDataFrame([(1, "cafe\u0301")], "k long, text string")
+    assert [r.term for r in retrieval.postings(df, ["k"]).collect()] == ["café"]
+
+
 def test_lexicon():
     words = lexicon.ordinals()
     assert words["الأولى"] == words["الاول"] == 1 and words["الثانية عشرة"] == 12 and words["الحادي عشر"] == 11 and words["العشرين"] == 20

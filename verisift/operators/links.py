@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import lexicon as lx
+from ..functions.tables import small, with_composed
 from ..functions.text import col, fold, normalize_digits, stems, tokens
 
 CONTEXT_CHARS = 300
@@ -105,7 +106,7 @@ def host_of(url) -> Column:
 
 def allowed(rows: DataFrame, hosts: DataFrame, url: str = "url") -> DataFrame:
     """Rows whose host is in the list, exactly."""
-    return rows.join(F.broadcast(hosts.select(F.lower("host").alias("__host")).distinct()), host_of(url) == F.col("__host"), "left_semi")
+    return rows.join(small(hosts.select(F.lower("host").alias("__host")).distinct()), host_of(url) == F.col("__host"), "left_semi")
 
 
 def hops_allowed(hops: Column, hosts: list[str]) -> Column:
@@ -126,13 +127,13 @@ def score_links(links: DataFrame, registry: DataFrame) -> DataFrame:
     score, number_year, coverage, from_context, strong.
 
     A pair without a common title term stays below any floor over 0.4, so that pairs are found by an equi-join on
-    terms instead of a cross join; the registry, a list kept by hand, is broadcast.
+    terms instead of a cross join; the registry is broadcast if it is as small as a list kept by hand.
     """
-    reg = registry.withColumn("__t", _terms(fold("title"))).where(F.size("__t") > 0)
-    rows = links.withColumn("__x", _terms(fold("text"))).withColumn("__y", _terms(fold("context")))
+    reg = with_composed(registry, "title").withColumn("__t", _terms(fold("title"))).where(F.size("__t") > 0)
+    rows = with_composed(links, "text", "context").withColumn("__x", _terms(fold("text"))).withColumn("__y", _terms(fold("context")))
     terms = reg.select("key", F.explode("__t").alias("term"))
     keyed = rows.withColumn("term", F.explode(F.array_union("__x", "__y")))
-    pairs = keyed.join(F.broadcast(terms), "term").drop("term").distinct().join(F.broadcast(reg), "key")
+    pairs = keyed.join(small(terms), "term").drop("term").distinct().join(small(reg), "key")
     share = lambda side: F.size(F.array_intersect("__t", side)) / F.size("__t")
     typed = lambda text: F.coalesce(*[F.when(F.col("type") == k, _any(fold(text), words)) for k, words in lx.TYPE_WORDS.items()], F.lit(False))
     own, ctx = normalize_digits(F.concat_ws(" ", "text", "url")), normalize_digits("context")

@@ -5,28 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import BROADCAST_ROWS, held, small, with_composed
 from ..functions.text import col, content_terms, fold, stems, tokens
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 #: Up to so many query terms (or rarities) are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def postings(articles: DataFrame, keys: list[str], text: str | Column = "text") -> DataFrame:
     """keys, term, tf, doc_len: the stems of each article with their numbers, and its length in stems."""
-    rows = articles.select(*keys, stems(fold(col(text))).alias("__s")).withColumn("doc_len", F.size("__s"))
+    rows = with_composed(articles.select(*keys, col(text).alias("__t")), "__t").select(*keys, stems(fold("__t")).alias("__s")).withColumn("doc_len", F.size("__s"))
     return rows.select(*keys, "doc_len", F.explode("__s").alias("term")).groupBy(*keys, "doc_len", "term").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame, id_col: str, text: str) -> DataFrame:
     """Distinct stems of over one character of each query: id, qterm."""
     terms = F.array_distinct(F.filter(stems(fold(text)), lambda s: F.length(s) > 1))
-    return queries.select(id_col, F.explode(terms).alias("qterm"))
+    return with_composed(queries, text).select(id_col, F.explode(terms).alias("qterm"))
 
 
 def bm25(index: DataFrame, n_docs: Column | float, avg_len: Column | float, queries: DataFrame, keys: list[str], query_id: str) -> DataFrame:
@@ -38,8 +34,8 @@ def bm25(index: DataFrame, n_docs: Column | float, avg_len: Column | float, quer
     """
     prefixes = queries.select("qterm").distinct().withColumn("__two", F.left("qterm", F.lit(2)))
     few = prefixes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    small = F.broadcast if few else lambda df: df  # what has a row for each query term at most is as small
-    prefixes = small(prefixes)
+    as_small = F.broadcast if few else lambda df: df  # what has a row for each query term at most is as small
+    prefixes = as_small(prefixes)
     words = index.select("term").distinct().withColumn("__two", F.left("term", F.lit(2)))
     met = words.join(prefixes, "__two").where(F.col("term").startswith(F.col("qterm"))).select("term", "qterm")
     hits = index.join(met, "term").groupBy("qterm", *keys, "doc_len").agg(F.sum("tf").alias("tf"))
@@ -47,19 +43,20 @@ def bm25(index: DataFrame, n_docs: Column | float, avg_len: Column | float, quer
     rarity = hits.groupBy("qterm").agg(F.count("*").alias("n")).select("qterm", F.when(idf > 0, idf).otherwise(IDF_FLOOR).alias("idf"))
     tf = F.col("tf").cast("double")
     weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / avg_len))
-    scored = hits.join(small(rarity), "qterm").select("qterm", *keys, weight.alias("w"))
-    return scored.join(_small(queries), "qterm").groupBy(query_id, *keys).agg(F.sum("w").alias("score"))
+    scored = hits.join(as_small(rarity), "qterm").select("qterm", *keys, weight.alias("w"))
+    return scored.join(small(queries), "qterm").groupBy(query_id, *keys).agg(F.sum("w").alias("score"))
 
 
-def search(articles: DataFrame, instruments: DataFrame, queries: DataFrame, query_id: str, text: str, areas: str | None = None, limit: int = 8, filter_first: bool = False) -> DataFrame:
+def search(articles: DataFrame, instruments: DataFrame, queries: DataFrame, query_id: str, text: str, areas: str | None = None, limit: int = 8, filter_first: bool = False, index: DataFrame | None = None) -> DataFrame:
     """The best articles of each query: query id, instrument_id, article_key, score, rank.
 
     All stored articles count for the statistics and, unless filter_first, compete for the first 4 * limit places;
     then those of unverified instruments go, and those of instruments with areas that lack the query's (column
     areas of queries). Ties are broken by instrument and article.
+    index: postings() of the articles, if they are kept.
     """
     keys = ["instrument_id", "article_key"]
-    index = postings(articles, keys).persist()  # used three times below
+    index = held(postings(articles, keys)) if index is None else index  # read three times below
     n_docs, total = articles.count(), index.agg(F.sum("tf")).first()[0]
     scored = bm25(index, float(n_docs), float(total or 0) / max(n_docs, 1) or 1.0, query_terms(queries, query_id, text), keys, query_id)
     # Equal sums may differ in the last bits by the order of addition.
@@ -69,15 +66,15 @@ def search(articles: DataFrame, instruments: DataFrame, queries: DataFrame, quer
     allowed = instruments.where("verified").select(F.col("id").alias("instrument_id"), *(["practice_areas"] if areas else []))
     kept = scored.drop("rank").join(allowed, "instrument_id")
     if areas:
-        kept = kept.join(_small(queries.select(query_id, F.col(areas).alias("__areas"))), query_id)
+        kept = kept.join(small(queries.select(query_id, F.col(areas).alias("__areas"))), query_id)
         kept = kept.where((F.size("practice_areas") == 0) | F.col("__areas").isNull() | (F.size("__areas") == 0) | F.arrays_overlap("practice_areas", "__areas"))
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(query_id, *keys, "score", "rank")
 
 
 def term_idf(articles: DataFrame, text: str | Column = "text") -> DataFrame:
     """Rarity ln((N + 1) / (n + 0.5)) of the stems of words of over two letters: term, df, idf."""
-    words = F.filter(tokens(fold(col(text))), lambda w: F.length(w) > 2)
-    rows = articles.select(F.explode(F.array_distinct(stems(F.array_join(words, " ")))).alias("term"))
+    words = F.filter(tokens(fold("__t")), lambda w: F.length(w) > 2)
+    rows = with_composed(articles.select(col(text).alias("__t")), "__t").select(F.explode(F.array_distinct(stems(F.array_join(words, " ")))).alias("term"))
     n = articles.count()
     return rows.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log((F.lit(n) + 1) / (F.col("df") + 0.5)))
 
@@ -88,13 +85,14 @@ def overlap(pairs: DataFrame, idf: DataFrame | None, keys: list[str], claim: str
     A term that no article has weighs as much as the rarest; without rarities all weigh the same. 0 for a claim
     without terms. keys identify a pair.
     """
-    rows = pairs.withColumn("__c", content_terms(fold(claim))).withColumn("__a", content_terms(fold(article)))
+    rows = with_composed(pairs.withColumns({"__c": F.col(claim), "__a": F.col(article)}), "__c", "__a")
+    rows = rows.withColumns({"__c": content_terms(fold("__c")), "__a": content_terms(fold("__a"))})
     if idf is None:
         share = F.size(F.array_intersect("__c", "__a")) / F.size("__c")
         return rows.withColumn("overlap", F.when(F.size("__c") > 0, share).otherwise(0.0)).drop("__c", "__a")
     top = idf.agg(F.max("idf")).first()[0]
     terms = rows.select(*keys, F.explode("__c").alias("term"), "__a").select(*keys, "term", F.array_contains("__a", F.col("term")).alias("__in"))
-    terms = terms.join(_small(idf.select("term", "idf")), "term", "left").withColumn("__w", F.coalesce("idf", F.lit(top), F.lit(1.0)))
+    terms = terms.join(small(idf.select("term", "idf")), "term", "left").withColumn("__w", F.coalesce("idf", F.lit(top), F.lit(1.0)))
     sums = terms.groupBy(*keys).agg((F.sum(F.when(F.col("__in"), F.col("__w")).otherwise(0.0)) / F.sum("__w")).alias("overlap"))
     return pairs.join(sums, keys, "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
 

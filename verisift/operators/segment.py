@@ -46,6 +46,6 @@ def identity_matches(found: Column, type_, number, year) -> Column:
     types = F.create_map(*[x for k, v in lx.KIND_TYPES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
 
     def fits(x):
-        return (x["number"] == F.ltrim(col(number), F.lit("0"))) & (x["year"] == col(year)) & F.array_contains(F.element_at(types, x["kind"]), col(type_))
+        return (x["number"] == strip_zeros(number)) & (x["year"] == col(year)) & F.array_contains(F.element_at(types, x["kind"]), col(type_))
 
     return F.when(F.size(found) > 0, F.exists(found, fits))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions.quantities import conflicting, quantities
+from ..functions.tables import held, release
 from ..functions.text import col, composed, line_of
 from .citations import MARKER, malformed_markers, resolve, sections, with_claims
 from .retrieval import overlap
@@ -155,7 +156,7 @@ def calibrate(articles: DataFrame, idf: DataFrame, samples: int = lx.SAMPLES, mi
         best = repeated.withColumn("__h", h).orderBy("__h", "instrument_id", "article_key").limit(samples)
         return best.withColumn("s", F.row_number().over(Window.orderBy("__h", "instrument_id", "article_key", "__r")))  # of `samples` rows
 
-    own = drawn("article").persist()
+    own = held(drawn("article"))
     size = F.size("__w")
     span = F.greatest(F.lit(6), F.floor(size * (0.45 + 0.3 * draw(F.col("s"), F.lit("span")))).cast("int"))
     first = F.floor(draw(F.col("s"), F.lit("start")) * (F.greatest(F.lit(0), size - span) + 1)).cast("int")
@@ -172,8 +173,9 @@ def calibrate(articles: DataFrame, idf: DataFrame, samples: int = lx.SAMPLES, mi
     wrong = F.coalesce(F.when(draw(F.col("s"), F.lit("near")) < 0.6, either), F.col("__any"))
     pairs = mine.select("s", "claim", F.col("__own").alias("article"), F.lit(True).alias("right"))
     pairs = pairs.union(rows.where(wrong != F.col("__own")).select("s", "claim", wrong.alias("article"), F.lit(False)))
-    scored = overlap(pairs, idf, ["s", "right"]).select("s", "right", "overlap").persist()
+    scored = held(overlap(pairs, idf, ["s", "right"]).select("s", "right", "overlap"))
     wrong_n = scored.where("not right").count()
+    release(own)
     if not wrong_n:
         return spark.createDataFrame([(lx.FLOOR, n, scored.count(), None, None, False)], shape)
     at = min(wrong_n - 1, round((1 - miss_rate) * (wrong_n - 1)))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DateType, DoubleType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, BooleanType, DateType, DoubleType, IntegerType, StringType, StructField, StructType, TimestampType
 
+from ..functions.tables import small
 from ..functions.text import article_key, article_label, fold, similarity
 from ..operators.segment import enactments, identity_matches, segment_articles
+from .documents import sniffed
 
 _S, _B = StringType(), BooleanType()
 _AMENDMENT = StructType([StructField(n, _S) for n in ("type", "number", "year")])
@@ -22,6 +25,9 @@ INSTRUMENTS = _schema(
     gazette_issue=_S, gazette_date=DateType(), amendments=ArrayType(_AMENDMENT), consolidated=_B, source_tier=_S, practice_areas=ArrayType(_S),
 )
 ARTICLES = _schema(instrument_id=_S, article_key=_S, number=_S, bis=_B, label=_S, text=_S)
+#: As they are stored: see replace_articles.
+STORED = _schema(**{f.name: f.dataType for f in ARTICLES}, bucket=IntegerType())
+BUCKETS = 64
 #: What columns that an older store lacks are filled with; others are null.
 DEFAULTS = {"amendments": "array()", "practice_areas": "array()", "consolidated": "false", "verified": "false"}
 #: A text shorter than this, or without an article, is rejected.
@@ -45,14 +51,25 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list | None =
     return old.join(new.select(*keys).distinct(), keys, "left_anti").select(*new.columns).unionByName(new)
 
 
-def replace_articles(new: DataFrame, path: str) -> None:
-    """Replaces the articles of the instruments in new, and of these only; one partition each."""
-    writer = new.select("article_key", "number", "bis", "label", "text", "instrument_id").repartition("instrument_id").write
-    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("instrument_id").parquet(path)
+def replace_articles(new: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Replaces the articles of the instruments in new, and of these only. The store is a folder for each bucket of a
+    hash of the instrument; buckets with one of these instruments are written anew, with what else they hold."""
+    bucket = F.pmod(F.xxhash64("instrument_id"), F.lit(buckets)).cast("int").alias("bucket")
+    new = new.select(*ARTICLES.names, bucket)
+    try:
+        old = new.sparkSession.read.schema(STORED).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = None
+    if old is not None:
+        touched, ids = new.select("bucket").distinct(), new.select("instrument_id").distinct()
+        new = old.join(touched, "bucket", "left_semi").join(small(ids), "instrument_id", "left_anti").select(*new.columns).unionByName(new)
+    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ARTICLES).parquet(path).select(*ARTICLES.names)
+    return spark.read.schema(STORED).parquet(path).select(*ARTICLES.names)
 
 
 def orphans(articles: DataFrame, instruments: DataFrame) -> DataFrame:
@@ -87,6 +104,32 @@ def export(instruments: DataFrame, articles: DataFrame) -> DataFrame:
     return rows.orderBy("instrument_id", F.expr("try_cast(number AS int)"), "article_key")
 
 
+def write_export(instruments: DataFrame, articles: DataFrame, path: str) -> None:
+    """The export as JSON lines, in its order: files are named by their place in it."""
+    export(instruments, articles).write.mode("errorifexists").json(path, ignoreNullFields=False)
+
+
+def only(registry: DataFrame, keys: list[str]) -> DataFrame:
+    """The registered instruments with one of the keys; an error if there is none."""
+    rows = registry.where(F.col("key").isin(*keys))
+    if rows.isEmpty():
+        raise ValueError(f"no instrument has one of the keys {' '.join(keys)}")
+    return rows
+
+
+def is_date(c):
+    """Whether a text has the form yyyy-mm-dd."""
+    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z")
+
+
+def manifest(staged: DataFrame, fetched: DataFrame | None = None) -> DataFrame:
+    """A record for each staged file (path, content, modificationTime, as of the binaryFile source): path, fmt, bytes,
+    sha256, staged_at; with fetched (path, url, final_url, hops, status) also where it came from. upsert() merges it
+    into an older manifest by path."""
+    rows = staged.select("path", sniffed("content").alias("fmt"), F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("staged_at"))
+    return rows if fetched is None else rows.join(fetched.select("path", "url", "final_url", "hops", "status"), "path", "left")
+
+
 def title_match(title, hint, text):
     """Largest similarity of the title with a line of the hint or of the start of the text; 1 if the title is in them."""
     start = F.concat_ws("\n", hint, F.left(text, F.lit(TITLE_CHARS)))
