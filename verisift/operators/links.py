@@ -130,19 +130,19 @@ def score_links(links: DataFrame, registry: DataFrame) -> DataFrame:
     terms instead of a cross join; the registry is broadcast if it is as small as a list kept by hand.
     """
     reg = with_composed(registry, "title").withColumn("__t", _terms(fold("title"))).where(F.size("__t") > 0)
-    rows = with_composed(links, "text", "context").withColumn("__x", _terms(fold("text"))).withColumn("__y", _terms(fold("context")))
+    rows = with_composed(links, "text", "context").withColumns({"__ft": fold("text"), "__fc": fold("context")}).withColumns({"__x": _terms("__ft"), "__y": _terms("__fc")})
     terms = reg.select("key", F.explode("__t").alias("term"))
     keyed = rows.withColumn("term", F.explode(F.array_union("__x", "__y")))
     pairs = keyed.join(small(terms), "term").drop("term").distinct().join(small(reg), "key")
     share = lambda side: F.size(F.array_intersect("__t", side)) / F.size("__t")
-    typed = lambda text: F.coalesce(*[F.when(F.col("type") == k, _any(fold(text), words)) for k, words in lx.TYPE_WORDS.items()], F.lit(False))
+    typed = lambda text: F.coalesce(*[F.when(F.col("type") == k, _any(F.col(text), words)) for k, words in lx.TYPE_WORDS.items()], F.lit(False))
     own, ctx = normalize_digits(F.concat_ws(" ", "text", "url")), normalize_digits("context")
     pairs = pairs.withColumns({"__cov": share("__x"), "__ctx": share("__y")})
     pairs = pairs.withColumns({"__y1": _standalone(own, F.col("year")), "__n1": _standalone(own, F.col("number")), "__y2": _standalone(ctx, F.col("year")), "__n2": _standalone(ctx, F.col("number"))})
     weak = (F.col("context") != "") & (F.col("__cov") < 0.5) & ~(F.col("__y1") & F.col("__n1"))
     pairs = pairs.withColumn("from_context", weak & ((F.col("__ctx") > F.col("__cov")) | (F.col("__y2") & F.col("__n2"))))
     use = lambda a, b: F.when(F.col("from_context"), b).otherwise(a)
-    pairs = pairs.withColumns({"coverage": use(F.col("__cov"), F.greatest("__cov", "__ctx")), "__y": use(F.col("__y1"), F.col("__y2")), "__n": use(F.col("__n1"), F.col("__n2")), "__k": typed("text") | (F.col("from_context") & typed("context"))})
+    pairs = pairs.withColumns({"coverage": use(F.col("__cov"), F.greatest("__cov", "__ctx")), "__y": use(F.col("__y1"), F.col("__y2")), "__n": use(F.col("__n1"), F.col("__n2")), "__k": typed("__ft") | (F.col("from_context") & typed("__fc"))})
     both = F.when(F.col("__y") & F.col("__n"), 0.30).when(F.col("__y"), 0.15).when(F.col("__n"), 0.05).otherwise(0.0)
     total = 0.5 * F.col("coverage") + both + F.when(F.col("__k"), 0.10).otherwise(0.0)
     total = total * F.when(F.col("from_context"), 0.85).when(F.length("text") < 4, 0.5).otherwise(1.0)

@@ -292,12 +292,40 @@ def calibration_threshold(spark, sf_dir):
 # -- fields -----------------------------------------------------------------------------------------------------------
 
 
-@query()
+def _places(kind: str, text: str, pattern: str, value: str) -> str:
+    """SQL of the matches of a pattern: doc_id, kind, raw, value, line. text may have its runs of digits between chr(1) and
+    chr(2), which stands for what RE2 lacks: that no digit comes before or after."""
+    bare = lambda x: f"replace(replace({x}, chr(1), ''), chr(2), '')"
+    return f"""SELECT doc_id, '{kind}' AS kind, trim({bare('raw')}) AS raw, {value} AS value, pos, length(left(text, pos)) - length(replace(left(text, pos), chr(10), '')) + 1 AS line FROM (
+      SELECT doc_id, text, raws[i] AS raw, CAST(list_sum(list_transform(gaps[1:i], lambda g: length({bare('g')}))) + coalesce(list_sum(list_transform(raws[1:i - 1], lambda r: length({bare('r')}))), 0) AS BIGINT) AS pos
+      FROM (SELECT doc_id, text, gaps, raws, unnest(range(1, len(raws) + 1)) AS i FROM (SELECT doc_id, text, regexp_split_to_array({text}, '{pattern}') AS gaps, regexp_extract_all({text}, '{pattern}') AS raws FROM marked)))"""
+
+
+def _iso(y: str, m: str, d: str) -> str:
+    return f"CASE WHEN {y} > 0 AND try_cast(printf('%04d-%02d-%02d', {y}, {m}, {d}) AS DATE) IS NOT NULL THEN printf('%04d-%02d-%02d', {y}, {m}, {d}) END"
+
+
+_DAY = r"\x01([0-9]{1,4})\x02\s*[/\-.]\s*\x01([0-9]{1,2})\x02\s*[/\-.]\s*\x01([0-9]{2,4})\x02"
+_GROUPS = [f"CAST(regexp_extract(raw, '{_DAY}', {k}) AS INT)" for k in (1, 2, 3)]
+_YEAR = f"(CASE WHEN length(regexp_extract(raw, '{_DAY}', 3)) = 4 THEN {_GROUPS[2]} WHEN {_GROUPS[2]} < 70 THEN {_GROUPS[2]} + 2000 ELSE {_GROUPS[2]} + 1900 END)"
+_DATE = f"coalesce(CASE WHEN length(regexp_extract(raw, '{_DAY}', 1)) = 4 THEN {_iso(*_GROUPS)} ELSE coalesce({_iso(_YEAR, _GROUPS[1], _GROUPS[0])}, {_iso(_YEAR, _GROUPS[0], _GROUPS[1])}) END, '?' || replace(replace(raw, chr(1), ''), chr(2), ''))"
+#: The kinds of fields that Latin texts can have; the others are in the Arabic frames.
+_FIELDS = f"""marked AS (SELECT doc_id, text, regexp_replace(text, '([0-9]+)', chr(1) || '\\1' || chr(2), 'g') AS mt FROM documents),
+places AS ({_places("date", "mt", _DAY, _DATE)}
+  UNION ALL {_places("percent", "text", "[0-9]+(?:[.][0-9]+)?[[:space:]]*%", "regexp_extract(raw, '^[0-9]+([.][0-9]+)?')")}
+  UNION ALL {_places("idnum", "mt", "[\\x01][0-9]{8,11}[\\x02]", "replace(replace(raw, chr(1), ''), chr(2), '')")}),
+fields AS (SELECT doc_id, kind, arg_min(raw, pos) AS raw, value, line FROM places GROUP BY doc_id, kind, value, line)"""
+
+
+@query(f"WITH {_FIELDS} SELECT doc_id, kind, raw, value, line FROM fields")
 def critical_fields(spark, sf_dir):
-    return fields.critical_fields(table(spark, sf_dir, "documents"), ["doc_id"])
+    return fields.critical_fields(table(spark, sf_dir, "documents"), ["doc_id"]).drop("context")
 
 
-@query()
+@query(f"""WITH {_FIELDS} SELECT doc_id, 'impossible_date' AS code, raw AS field, line FROM fields WHERE kind = 'date' AND starts_with(value, '?')
+UNION ALL SELECT doc_id, 'over_100_percent', value, line FROM fields WHERE kind = 'percent' AND CAST(value AS DOUBLE) > 100
+UNION ALL SELECT doc_id, 'impossible_birth_date', value, line FROM fields WHERE kind = 'idnum' AND length(value) = 9
+  AND {_iso("1900 + TRY_CAST(left(value, 2) AS INT)", "TRY_CAST(substr(value, 3, 2) AS INT)", "TRY_CAST(substr(value, 5, 2) AS INT)")} IS NULL""")
 def field_inconsistencies(spark, sf_dir):
     return fields.consistency(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -309,7 +337,7 @@ def reader_disagreement(spark, sf_dir):
     """Two readings of each document, of which the second takes 7 for 1: numbers of 8 to 11 digits that one has."""
     docs = table(spark, sf_dir, "documents")
     both = docs.select("doc_id", F.lit("a").alias("reader"), "text").union(docs.select("doc_id", F.lit("b"), F.replace("text", F.lit("7"), F.lit("1"))))
-    found = both.select("doc_id", "reader", F.lit("idnum").alias("kind"), F.explode(F.split("text", "[^0-9]+")).alias("value")).where(F.length("value").between(8, 11))
+    found = fields.critical_fields(both, ["doc_id", "reader"]).where("kind = 'idnum'")
     out = fields.disagreements(found, both.select("doc_id", "reader"), ["doc_id"])
     return out.select("doc_id", "kind", "value", F.array_join("read_by", ",").alias("read_by"), F.array_join("missed_by", ",").alias("missed_by"))
 
