@@ -33,3 +33,10 @@ def with_composed(df: DataFrame, *columns: str) -> DataFrame:
     """df with columns in the composed normal form, as a step of its own: it may call a UDF, which expressions over
     arrays cannot hold."""
     return df.withColumns({c: composed(c) for c in columns})
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores if it has fewer partitions than there are cores: files with one row group are one
+    partition, however much work there is for each row. Large inputs have more partitions and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

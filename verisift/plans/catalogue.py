@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import spread, with_composed
 from ..functions.text import fold, snippet, stems, thousands, tokens
 from ..operators import citations, contracts, fields, links, retrieval, verify, workflow
 from ..sources import documents as files
@@ -16,7 +17,7 @@ from ..sources import store, worddoc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,12 +107,12 @@ def export_verified(spark, sf_dir):
 
 @query(f"SELECT doc_id, {_fold('text')} AS folded, len({_words('text')}) AS n_tokens FROM documents")
 def text_fold_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").withColumn("folded", fold("text")).select("doc_id", "folded", F.size(tokens("folded")).alias("n_tokens"))
+    return with_composed(table(spark, sf_dir, "documents"), "text").withColumn("folded", fold("text")).select("doc_id", "folded", F.size(tokens("folded")).alias("n_tokens"))
 
 
 @query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_words('text')}) AS term FROM documents) GROUP BY term")
 def doc_term_frequency(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(stems(fold("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return with_composed(table(spark, sf_dir, "documents"), "text").select(F.explode(F.array_distinct(stems(fold("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 100 THEN text WHEN contains(left(text, 100), ' ') THEN regexp_extract(left(text, 100), '(?s)^(.*) ', 1) || ' …' ELSE left(text, 100) || ' …' END AS snippet FROM documents")
