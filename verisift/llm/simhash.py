@@ -207,7 +207,7 @@ NEAR_RADIUS = 3
 BROADCAST_IDS = 1_000_000
 #: Shingles that a task counts at a time, and frequent ones that are known to all tasks. They set the order of
 #: shingles in a prefix, which decides how much is compared, never what is found.
-COUNT_ROWS, COMMON = 1 << 22, 1 << 19
+COUNT_ROWS, COMMON = 1 << 20, 1 << 19
 #: Texts with a shingle in common are compared in one task up to so many; more are dealt out by pairs of blocks.
 RUN_ROWS = 4_096
 #: Partners of each text in a run that are verified in the first rounds, each time others: parts that these join need
@@ -345,14 +345,16 @@ def _shared(cols, starts):
 
 def _partners(most: int | None, turn: int):
     """From runs of rows (token, i, j, node, rest, n, s0, s1, part): pairs (a, b) of nodes of different parts that may
-    be as similar as SIMILARITY. With most, each node has so many partners at most, others in another turn."""
+    be as similar as SIMILARITY. With most, each node has so many partners at most, others in another turn, and runs
+    where a node has more come as rows with token, i, j: only they have anything left for later rounds."""
 
     def take(cols, starts):
         node, rest, n, s0, s1, part = cols[3:]
         n, rest, s0, s1 = n.astype(np.int64), rest.astype(np.int64), s0.view(np.uint64), s1.view(np.uint64)
-        a, b = [], []
+        a, b, left = [], [], []
         for r in np.flatnonzero(np.diff(starts) > 1).tolist():
             lo, hi = int(starts[r]), int(starts[r + 1])
+            more = False
             own = part[lo:hi]
             if (own == own[0]).all():
                 continue
@@ -367,12 +369,18 @@ def _partners(most: int | None, turn: int):
                 may &= 9 * np.minimum(rest[lo:hi], rest[x]) >= 4 * (n[lo:hi] + n[x])
                 found = np.flatnonzero(may)
                 if most is not None and len(found) > most:
+                    more = True
                     found = np.roll(found, -(int(node[x]) * (2 * turn + 1) % len(found)))[:most]
                 found += lo
                 if len(found):
                     a.append(np.minimum(node[found], node[x])), b.append(np.maximum(node[found], node[x]))
-        cols = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["a", "b"])
+            if more:
+                left.append(lo)
+        pairs = [pa.array(np.concatenate(x)) if x else pa.array([], pa.int64()) for x in (a, b)]
+        runs = [pa.array(c[left]) for c in cols[:3]]
+        none = [pa.nulls(len(pairs[0]), c.type) for c in runs]
+        more = [pa.nulls(len(left), pa.int64())] * 2
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip([*pairs, *none], [*more, *runs])], names=["a", "b", "token", "i", "j"])
 
     return _runs(3, take)
 
@@ -381,11 +389,11 @@ def _some(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes whose sets (node, hashes) have a similarity of SIMILARITY or more. Only sets that a pair
-    names are shuffled."""
-    named = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named-sets")
-    sets = sets.join(_some(named), "node", "left_semi")
+def verified(pairs: DataFrame, sets_of) -> DataFrame:
+    """Pairs (a, b) of nodes whose sets have a similarity of SIMILARITY or more. sets_of gives the sets (node, hashes)
+    of a table of nodes: those that a pair names."""
+    named = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
+    sets = save(sets_of(named), "sets")
     of = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"s{c}"))
 
     def run(batches):
@@ -394,7 +402,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             kept = [i for i in range(len(a)) if similarity(np.frombuffer(sa[i], np.uint64), np.frombuffer(sb[i], np.uint64)) >= SIMILARITY]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in kept], pa.int64()) for x in (a, b)], names=["a", "b"])
 
-    return save(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "verified")
+    found = save(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "verified")
+    drop(sets)
+    return found
 
 
 def _covered(nodes: DataFrame) -> DataFrame:
@@ -432,27 +442,29 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shared = prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_runs(1, _shared), "token long, node long, rest int, m int")
     shared = save(shared, "shared")
     covered = save(_covered(nodes), "pairs")
-    used = shared.select("node").union(covered.select("a")).union(covered.select("b")).distinct()
-    sets = save(texts(nodes.join(used, "node", "left_semi")).mapInArrow(whole, "node long, hashes binary").dropDuplicates(["node"]), "sets")
+    sets_of = lambda named: texts(nodes.join(_some(named), "node", "left_semi")).mapInArrow(whole, "node long, hashes binary").dropDuplicates(["node"])
     blocks = F.when(F.col("m") > RUN_ROWS, F.ceil(F.col("m") * 2 / RUN_ROWS)).otherwise(1).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = shared.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "rest")
 
-    pairs, tried, links = covered, None, None
+    pairs, tried, links, done = covered, None, None, False
     for turn, most in enumerate((*FIRST_PARTNERS, None, 0)):
         tried = tried.union(pairs) if tried else pairs
-        found = verified(pairs, sets)
+        found = verified(pairs, sets_of)
         links = links.union(found) if links else found
         parts = connected_components(links).select("node", F.col("component").alias("part"))
         placed = save(nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "placed")
-        if most == 0:
+        if most == 0 or done:
             break
         runs = dealt.join(placed.select("node", "n", "s0", "s1", "part"), "node").select("token", "i", "j", "node", "rest", "n", "s0", "s1", "part")
         runs = runs.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
-        pairs = runs.mapInArrow(_partners(most, turn), "a long, b long").distinct()
-        pairs = save(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    drop(sets)
+        met = save(runs.mapInArrow(_partners(most, turn), "a long, b long, token long, i int, j int"), "partners")
+        pairs = save(met.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        left = save(met.where("a is null").select("token", "i", "j"), "runs-left")
+        dealt = dealt.join(_some(left), ["token", "i", "j"], "left_semi")
+        drop(met)
+        done = left.isEmpty()
     named = save(placed.join(placed.groupBy("part").agg(F.min("first").alias("of_part")), "part").select("node", "of_part"), "named")
     return rows.join(named, "node").select("id", "hash", F.col("of_part").alias("first"))
 
