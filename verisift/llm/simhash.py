@@ -207,12 +207,12 @@ NEAR_RADIUS = 3
 BROADCAST_IDS = 1_000_000
 #: Shingles that a task counts at a time, and frequent ones that are known to all tasks. They set the order of
 #: shingles in a prefix, which decides how much is compared, never what is found.
-COUNT_ROWS, COMMON = 1 << 20, 1 << 19
+COUNT_ROWS, COMMON = 1 << 20, 1 << 17
 #: Texts with a shingle in common are compared in one task up to so many; more are dealt out by pairs of blocks.
 RUN_ROWS = 4_096
 #: Partners of each text in a run that are verified in the first rounds, each time others: parts that these join need
 #: no more comparisons. The last round has all that are left.
-FIRST_PARTNERS = (2, 8, 32)
+FIRST_PARTNERS = (4, 32)
 #: Bits of a sketch.
 SKETCH = 128
 
@@ -448,22 +448,25 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     dealt = shared.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "rest")
 
-    pairs, tried, links, done = covered, None, None, False
+    common.destroy()
+    placed = nodes.withColumn("part", F.col("node"))
+    pairs, tried, done = covered, None, False
     for turn, most in enumerate((*FIRST_PARTNERS, None, 0)):
         tried = tried.union(pairs) if tried else pairs
         found = verified(pairs, sets_of)
-        links = links.union(found) if links else found
-        parts = connected_components(links).select("node", F.col("component").alias("part"))
-        placed = save(nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "placed")
+        if not found.isEmpty():  # links between parts join them
+            of = lambda c: placed.select(F.col("node").alias(c), F.col("part").alias(f"p{c}"))  # noqa: E731, B023
+            wider = connected_components(found.join(of("a"), "a").join(of("b"), "b").select("pa", "pb"), "pa", "pb")
+            placed = placed.join(wider.select(F.col("node").alias("part"), "component"), "part", "left")
+            placed = save(placed.withColumn("part", F.coalesce("component", "part")).drop("component"), "placed")
         if most == 0 or done:
             break
         runs = dealt.join(placed.select("node", "n", "s0", "s1", "part"), "node").select("token", "i", "j", "node", "rest", "n", "s0", "s1", "part")
         runs = runs.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
         met = save(runs.mapInArrow(_partners(most, turn), "a long, b long, token long, i int, j int"), "partners")
         pairs = save(met.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        left = save(met.where("a is null").select("token", "i", "j"), "runs-left")
+        left = met.where("a is null").select("token", "i", "j")
         dealt = dealt.join(_some(left), ["token", "i", "j"], "left_semi")
-        drop(met)
         done = left.isEmpty()
     named = save(placed.join(placed.groupBy("part").agg(F.min("first").alias("of_part")), "part").select("node", "of_part"), "named")
     return rows.join(named, "node").select("id", "hash", F.col("of_part").alias("first"))
