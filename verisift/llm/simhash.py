@@ -207,12 +207,12 @@ NEAR_RADIUS = 3
 BROADCAST_IDS = 1_000_000
 #: Shingles that a task counts at a time, and frequent ones that are known to all tasks. They set the order of
 #: shingles in a prefix, which decides how much is compared, never what is found.
-COUNT_ROWS, COMMON = 1 << 20, 1 << 17
+COUNT_ROWS, COMMON = 1 << 20, 1 << 19
 #: Texts with a shingle in common are compared in one task up to so many; more are dealt out by pairs of blocks.
 RUN_ROWS = 4_096
 #: Partners of each text in a run that are verified in the first rounds, each time others: parts that these join need
 #: no more comparisons. The last round has all that are left.
-FIRST_PARTNERS = (4, 32)
+FIRST_PARTNERS = (2, 16)
 #: Bits of a sketch.
 SKETCH = 128
 
@@ -420,7 +420,14 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, hash and first of every row: first is the (no_id, id, hash) that comes first in the row's group."""
     spark = docs.sparkSession
     rows = save(shingle_sets(docs, id_col, text_col), "shingle-sets")
-    often = rows.where("token is not null").groupBy("token").agg(F.sum("m").alias("m")).orderBy(F.desc("m"), "token").limit(COMMON).toArrow()
+    often = save(rows.where("token is not null").groupBy("token").agg(F.sum("m").alias("m")).withColumn("c", F.floor(F.log2("m"))), "often")
+    # Whole classes of frequency, the highest ones first, as many as fit: nothing is sorted at the driver.
+    least, known = 64, 0
+    for c, n in sorted(map(tuple, often.groupBy("c").count().collect()), reverse=True):
+        if known + n > COMMON:
+            break
+        least, known = c, known + n
+    often = often.where(F.col("c") >= least).select("token", "m").toArrow()
     tokens, m = (often.column(c).to_numpy() for c in ("token", "m"))
     order = np.argsort(tokens.view(np.uint64))
     common = spark.sparkContext.broadcast((tokens.view(np.uint64)[order], np.log2(m[order]).astype(np.uint8)))
@@ -429,7 +436,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     nodes = save(rows.groupBy("node").agg(first.alias("first"), *(F.min(c).alias(c) for c in ("fp", "n", "s0", "s1"))), "nodes")
 
     def texts(which):
-        """node and a text of each of the nodes. Of the rows with a node's id and hash of the text, any will do."""
+        """node and a text of each of the nodes; rows that repeat a node's id and text give it again."""
         key = which.select("node", F.col("first.id").alias("__id"), F.col("first.hash").alias("__hash"))
         found = docs.select(F.col(id_col).cast("long").alias("__i"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("__text"))
         return found.join(_some(key), (F.col("__i").eqNullSafe(F.col("__id"))) & (found["__hash"] == key["__hash"])).select("node", "__text")
@@ -442,7 +449,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shared = prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_runs(1, _shared), "token long, node long, rest int, m int")
     shared = save(shared, "shared")
     covered = save(_covered(nodes), "pairs")
-    sets_of = lambda named: texts(nodes.join(_some(named), "node", "left_semi")).mapInArrow(whole, "node long, hashes binary").dropDuplicates(["node"])
+    sets_of = lambda named: texts(nodes.join(_some(named), "node", "left_semi")).mapInArrow(whole, "node long, hashes binary")
     blocks = F.when(F.col("m") > RUN_ROWS, F.ceil(F.col("m") * 2 / RUN_ROWS)).otherwise(1).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = shared.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
