@@ -256,7 +256,7 @@ def search(articles: DataFrame, instruments: DataFrame, queries: DataFrame, quer
         scored = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 4 * limit)
     kept = scored.drop("rank").join(allowed, "instrument_id")
     if areas:
-        kept = kept.join(small(queries.select(query_id, F.col(areas).alias("__areas"))), query_id)
+        kept = kept.join(small(queries.select(query_id, F.col(areas).alias("__areas")).distinct()), query_id)
         kept = kept.where((F.size("practice_areas") == 0) | F.col("__areas").isNull() | (F.size("__areas") == 0) | F.arrays_overlap("practice_areas", "__areas"))
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(query_id, *keys, "score", "rank")
 
