@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -350,6 +351,48 @@ def test_windows_save_verifications():
     assert sum(len(a & b) for a, b in zip(again, want)) >= 0.9 * 2000 and index.verified < 0.75 * 100 * 4000
 
 
+@pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 1000])
+def test_collisions_lose_none_of_a_window(n):
+    """All that lie in THRESHOLD windows collide, what the widest hold is everything, and copies collide alike."""
+    rng = np.random.default_rng(n)
+    v = rng.normal(size=(n, 8))
+    v[n // 3 : n // 2] = v[0]
+    index = neighbours.Index(np.arange(n), v, float(np.linalg.norm(v, axis=1).max()))
+    lift = np.sqrt(np.maximum(index.longest**2 - (v**2).sum(axis=1), 0))
+    hashed, centres = np.column_stack([v, lift]) @ index.planes, rng.normal(size=(30, neighbours.PROJECTIONS)) * 3
+    for half in (0.0, 2.0, 5.0, 1e9):
+        sets = index._colliding(index._ends(centres, np.full(30, half)))
+        for q in range(30):
+            rows = index._rows(sets[q]).tolist()
+            assert set(np.flatnonzero((np.abs(hashed - centres[q]) <= half).sum(axis=1) >= neighbours.THRESHOLD).tolist()) <= set(rows)
+            assert half < 1e9 or rows == list(range(n))
+            assert len(set(range(n // 3, n // 2)) - set(rows)) in (0, n // 2 - n // 3)
+    for q, (rows, scores) in enumerate(index.search(v, list(range(n)), [None] * n, n)):
+        assert sorted(rows.tolist()) == [i for i in range(n) if i != q] and (np.diff(scores) <= 0).all()
+
+
+def test_counting_takes_less_than_a_look_at_each_entry():
+    """The work of a block is queries times vectors; what one of them costs decides how CPU seconds grow."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(12_000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    queries, v = v[:64], v[64:]
+    index = neighbours.Index(np.arange(len(v)), v, 1.0)
+    bounds = np.sort(queries @ v.T, axis=1)[:, -20].tolist()
+    hashed = np.column_stack([v, np.sqrt(np.maximum(1 - (v**2).sum(axis=1), 0))]) @ index.planes
+    order, values = np.argsort(hashed, axis=0).T.astype(np.int32), np.sort(hashed, axis=0).T.copy()
+    began = time.thread_time()
+    found = [set(rows.tolist()) for rows, _ in index.search(queries, [-1] * 64, bounds, 20)]
+    took, began = time.thread_time() - began, time.thread_time()
+    centres = queries @ index.planes[:-1]
+    for q, query in enumerate(queries):
+        half = index._reach(bounds[q], 1.0)
+        hits = np.concatenate([o[np.searchsorted(x, c - half) : np.searchsorted(x, c + half, side="right")] for o, x, c in zip(order, values, centres[q])])
+        rows = np.flatnonzero(np.bincount(hits, minlength=len(v)) >= neighbours.THRESHOLD)
+        assert set(rows[(v[rows] * query).sum(axis=1) >= bounds[q] + 1e-12].tolist()) <= found[q]
+    assert took < (time.thread_time() - began) / 2
+
+
 # -- packing ----------------------------------------------------------------------------------------------------------
 
 
